@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_store
+from . import bpe, host_rules, packing, quality_bt, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,9 +28,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 1, 2048, digest=True)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bt.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op4_token_store, op7_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op4_token_store, op7_packing, op8_quality, op10_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_host_rules": host_rules.ORACLE_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, host_rules, packing, quality_bt, token_store, toxicity
+from . import bpe, host_rules, packing, quality_bt, substring_dedup, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_store.read_store(token_store.write_store(docs, token_store.store_folder(docs), "word_bpe_49k.json", 2), digest=True)
@@ -41,7 +45,7 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op4_token_store, op7_packing, op8_quality, op10_host_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_substring_dedup, op4_token_store, op7_packing, op8_quality, op10_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

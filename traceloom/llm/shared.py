@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import NULL_ID, mix
+
 #: Entries that a task holds before it sends out what it has packed.
 FLUSH = 2_000_000
 
@@ -78,5 +80,65 @@ def record_batches(rows: Iterable[tuple], schema: pa.Schema, most_bytes: int = 1
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
+#: Packed rows of any operator: kind says what a to d hold.
+PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+PACKED_SQL = "bucket int, kind int, a binary, b binary, c binary, d binary"
+TEXTS = 9
+
+
+def doc_buckets(ids: np.ndarray, n: int) -> np.ndarray:
+    return bucket_of(mix(ids.astype(np.uint64) + np.uint64(1)), n)
+
+
+def packed_documents(docs: DataFrame, n: int) -> DataFrame:
+    """Whole rows of docs as compressed Arrow messages of kind TEXTS, packed by the bucket of their doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                bucket = doc_buckets(b.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False), n)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else []
+                for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_batch(b.take(pa.array(order[i:j])))
+                    yield int(bucket[order[i]]), TEXTS, sink.getvalue().to_pybytes(), b"", b"", b""
+
+        return record_batches(rows(), PACKED)
+
+    return docs.mapInArrow(run, PACKED_SQL)
+
+
+def unpacked(raw: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(raw) as r:
+        return r.read_next_batch()
+
+
+def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(bucket, its rows) of packed rows sorted by bucket; one bucket is held at a time."""
+    now, held = None, []
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in PACKED.names), strict=True):
+            if row[0] != now:
+                if held:
+                    yield now, held
+                now, held = row[0], []
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def joined(rows: list[tuple], column: int, kind: type | str) -> np.ndarray:
+    """One array of what the rows hold in a column."""
+    return np.frombuffer(b"".join(r[column] for r in rows), kind)
+
+
+def dealt(packed: DataFrame) -> DataFrame:
+    """Packed rows with each bucket in one task, sorted by bucket and kind."""
+    n = max(32, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+
+
 def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))

@@ -18,6 +18,8 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 CHUNK = 2_000_000
 
 P1, P2, P3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+#: Stands for a null document id.
+NULL_ID = -(1 << 63)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -96,7 +98,7 @@ def inside(first: np.ndarray, k: int) -> np.ndarray:
 
 def chunks(batch: pa.RecordBatch, lower: bool = False, limit: int = CHUNK) -> Iterator[Words]:
     """Words of the documents of a batch with doc_id and text, some MB at a time; a null text has none."""
-    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
     col = batch.column("text")
     if pa.types.is_large_string(col.type):
         col = col.cast(pa.string())

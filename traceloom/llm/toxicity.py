@@ -270,6 +270,24 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "to
     return out.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic") -> DataFrame:
+    """Rows of docs, unchanged, whose text scores below CUT_SCORE."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held_out & F.col("y").isin(0, 1))
+    field, weights = fit(texts(docs), known)
+    shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps((field.word.astype(np.float32), field.before.astype(np.float32), field.after.astype(np.float32), field.bias, field.trans)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Field()
+        f.word, f.before, f.after, f.bias, f.trans = pickle.loads(shipped.value)
+        for b in batches:
+            own = pa.record_batch([pa.array(np.zeros(b.num_rows, np.int64)), b.column("text").cast(pa.string())], ["doc_id", "text"])
+            parts = [np.c_[summary(marginals(f.emissions(t := token_ids(w), w.first), f.trans, w.first), w.first), np.ones(len(w.ids))] @ weights for w in chunks(own)]
+            if parts:
+                yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(parts), -30, 30))) < CUT_SCORE))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs, labels, crc_of_id(F.col("doc_id")) % 4 == 2)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= CUT_SCORE).cast("int").alias("predicted"), "n_toxic", "spans")

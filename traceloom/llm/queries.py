@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, host_rules, minhash, packing, quality_bt, substring_dedup, token_store, toxicity
+from . import bpe, host_rules, minhash, nn_descent, packing, quality_bt, substring_dedup, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 1, 2048, digest=True)
 
@@ -49,7 +53,7 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_substring_dedup, op4_token_store, op5_minhash, op7_packing, op8_quality, op10_host_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_substring_dedup, op4_token_store, op5_minhash, op6_nn_descent, op7_packing, op8_quality, op10_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, host_rules, minhash, nn_descent, packing, quality_bt, substring_dedup, token_store, toxicity
+from . import bpe, host_rules, minhash, nn_descent, packing, pseudo_likelihood, quality_bt, substring_dedup, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,12 +48,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bt.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score(table(spark, sf_dir, "documents"))
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_substring_dedup, op4_token_store, op5_minhash, op6_nn_descent, op7_packing, op8_quality, op10_host_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_substring_dedup, op4_token_store, op5_minhash, op6_nn_descent, op7_packing, op8_quality, op9_pseudo_likelihood, op10_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -44,9 +44,9 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def buckets(spark: SparkSession, per: int = 2) -> int:
+def buckets(spark: SparkSession) -> int:
     """Buckets that packed rows are dealt to: they follow the shuffle partitions, which follow the input."""
-    return max(64, per * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def texts(docs: DataFrame, *more: str | Column) -> DataFrame:

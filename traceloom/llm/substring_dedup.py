@@ -17,6 +17,7 @@ of rows with equal ids none is before the other. Windows are judged on the input
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from .shared import FLUSH, PACKED, PACKED_SQL, TEXTS, bucket_of, buckets, by_buc
 from .words import NULL_ID, P3, Words, chunks, grams, inside, mix
 
 WINDOW, GRAM = 13, 8
-#: Letters of one automaton; more distinct words make a second one.
-LETTERS = 900_000
+#: Letters that spell a word.
+DIGITS = 3
 ENTRY, FOUND = 1, 2
 ANY = NULL_ID
 
@@ -160,42 +161,46 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield k, FOUND, x, y, b"", b""
 
 
-class Automata:
-    """Phrases of WINDOW words, as word hashes with an owner, in as many automata as their letters need."""
+class Phrases:
+    """An automaton for phrases of WINDOW words, given as word hashes, with an owner each.
+
+    A word is spelled with DIGITS letters, each place with letters of its own, so matches begin at words alone and no state
+    of the automaton has more followers than the cube root of the number of words.
+    """
 
     def __init__(self, phrases: np.ndarray, owners: np.ndarray):
         import ahocorasick
 
-        self.shards = []
-        step = max(1, LETTERS // WINDOW) if len(phrases) * WINDOW > LETTERS and len(np.unique(phrases)) > LETTERS else max(1, len(phrases))
-        for i in range(0, len(phrases), step):
-            some = phrases[i : i + step]
-            letters, codes = np.unique(some, return_inverse=True)
-            auto = ahocorasick.Automaton()
-            keys = text_of(codes.reshape(some.shape) + 1)
-            for j, owner in enumerate(owners[i : i + step].tolist()):
-                auto.add_word(keys[j * WINDOW : (j + 1) * WINDOW], owner)
-            auto.make_automaton()
-            self.shards.append((letters, auto))
+        self.words, codes = np.unique(phrases, return_inverse=True)
+        self.base = math.ceil(len(self.words) ** (1 / DIGITS)) + 1
+        self.auto = ahocorasick.Automaton()
+        keys, n = self.spell(codes.ravel()), WINDOW * DIGITS
+        for j, owner in enumerate(owners.tolist()):
+            self.auto.add_word(keys[j * n : (j + 1) * n], owner)
+        self.auto.make_automaton()
+
+    def spell(self, codes: np.ndarray) -> str:
+        """Letters of word numbers; those of -1 occur in no phrase."""
+        out = np.zeros((len(codes), DIGITS), np.int64)
+        for k in range(DIGITS):
+            out[:, k] = np.where(codes < 0, 0, 1 + k * self.base + codes // self.base**k % self.base)
+        return np.where(out >= 0xD800, out + 0x800, out).astype("<u4").tobytes().decode("utf-32-le")
 
     def cover(self, h: np.ndarray, doc: int, out: np.ndarray) -> None:
         """Marks the words of a document that some phrase with an owner before it covers."""
-        for letters, auto in self.shards:
-            at = np.minimum(np.searchsorted(letters, h), len(letters) - 1)
-            known = letters[at] == h
-            if known.any():
-                for end, owner in auto.iter(text_of(np.where(known, at + 1, 0))):
-                    if owner < doc:
-                        out[end - WINDOW + 1 : end + 1] = True
-
-
-def text_of(codes: np.ndarray) -> str:
-    """Numbers as characters, surrogates left out."""
-    codes = codes + 1
-    return np.where(codes >= 0xD800, codes + 0x800, codes).astype("<u4").tobytes().decode("utf-32-le")
-
-
-def removed_words(w: Words, h: np.ndarray, auto: Automata | None) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        known = self.words[at] == h
+        if known.any():
+            ends = [end for end, owner in self.auto.iter(self.spell(np.where(known, at, -1))) if owner < doc]
+            if ends:
+                last = np.array(ends) // DIGITS
+                edge = np.zeros(len(h) + 1, np.int32)
+                edge[last - WINDOW + 1] += 1
+                edge[last + 1] -= 1
+                out |= np.cumsum(edge[:-1]) > 0
+
+
+def removed_words(w: Words, h: np.ndarray, auto: Phrases | None) -> np.ndarray:
     out = np.zeros(len(h), bool)
     if auto is not None:
         for i in np.flatnonzero((w.counts >= WINDOW) & (w.ids != NULL_ID)):
@@ -236,7 +241,7 @@ def cleaned(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Reco
             phrases, owners = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             if len(phrases):
                 _, one = np.unique(grams(phrases.ravel(), WINDOW)[::WINDOW], return_index=True)
-                auto = Automata(phrases[one], owners[one])
+                auto = Phrases(phrases[one], owners[one])
         for b in docs:
             n_words, n_removed, kept = [], [], []
             for w in chunks(b):

@@ -1 +1 @@
-
+"""Declarative flows: plugins, channels, segments, pipes and graphs."""

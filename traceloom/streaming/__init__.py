@@ -1 +1 @@
-
+"""Event-only logs as streams."""

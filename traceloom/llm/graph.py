@@ -11,21 +11,36 @@ from .shared import dropped, scratch, written
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id and component, its least reachable id, for every id of edges (a, b).
 
-    Every id takes the least component among its neighbours, then that component's own component, until nothing changes;
-    the pointer jumps halve distances, so the rounds grow with the logarithm of the longest path. Each round is written.
+    Every vertex hooks to its least neighbour, pointers jump to their end, and edges are drawn anew between what the
+    vertices have become, loops and repeats dropped; so the graph shrinks at least by half in each round, until no edge is
+    left. Hooks go down only, so a vertex ends at the least id of its component. Each round is written.
     """
     spark = edges.sparkSession
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
-    both = written(both, scratch(spark, "edges"))
-    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("component")), path := scratch(spark, "components"))
-    total = labels.agg(F.sum("component")).first()[0]
-    while True:
-        near = both.join(labels, both.v == labels.id).groupBy("u").agg(F.min("component").alias("m"))
-        less = labels.join(near, labels.id == near.u, "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        to = labels.select(F.col("id").alias("of"), F.col("component").alias("next"))
-        fresh = less.join(to, less.component == to.of, "left").select("id", F.least("component", F.coalesce("next", "component")).alias("component"))
-        labels = written(fresh, new := scratch(spark, "components"))
+    left = written(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), path := scratch(spark, "edges"))
+    labels: DataFrame | None = None
+    old: list[str] = []
+    while labels is None or not left.isEmpty():
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hook = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to")).select(F.col("u").alias("id"), "to"), new := scratch(spark, "components"))
+        old.append(new)
+        while True:
+            end = hook.select(F.col("id").alias("of"), F.col("to").alias("end"))
+            jumped = written(hook.join(end, F.col("to") == F.col("of")).select("id", F.col("to").alias("was"), F.col("end").alias("to")), new := scratch(spark, "components"))
+            old.append(new)
+            moved = not jumped.where("was <> to").isEmpty()
+            hook = jumped.select("id", "to")
+            if not moved:
+                break
+        x, y = (hook.select(F.col("id").alias(f"{c}_"), F.col("to").alias(c)) for c in ("x", "y"))
+        drawn = left.join(x, F.col("u") == F.col("x_")).join(y, F.col("v") == F.col("y_")).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).where("u <> v").distinct()
+        left = written(drawn, new := scratch(spark, "edges"))
         dropped(spark, path)
-        path, before, total = new, total, labels.agg(F.sum("component")).first()[0]
-        if total == before:
-            return labels
+        path = new
+        if labels is None:
+            labels = hook.select("id", F.col("to").alias("component"))
+        else:
+            labels = labels.join(hook.select(F.col("id").alias("of"), "to"), F.col("component") == F.col("of"), "left").select("id", F.coalesce("to", "component").alias("component"))
+        labels = written(labels, scratch(spark, "components"))
+        dropped(spark, *old)
+        old = []
+    return labels

@@ -27,7 +27,7 @@ from .words import Words, chunks, grams, inside, mix
 
 SHINGLE, SHARE, BANDS, ROWS, SEED = 5, 75, 40, 4, 11
 #: Clusters up to this many documents and shingles are resolved in one task; leaders' shingles held against a cluster at once.
-TASK_DOCS, TASK_SHINGLES, LEADER_SHINGLES = 1500, 2_000_000, 2_000_000
+TASK_DOCS, TASK_SHINGLES, LEADERS, LEADER_SHINGLES = 1500, 2_000_000, 1000, 2_000_000
 ENTRY, EDGE = 1, 2
 
 
@@ -205,12 +205,32 @@ def small_clusters(members: DataFrame) -> DataFrame:
     return members.repartition(n, "cluster").sortWithinPartitions("cluster").mapInArrow(run, "doc_id long, component long")
 
 
+def leader_links(lead: list[tuple[int, np.ndarray]], docs: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Links (a, b) that connect what leaders connect: of each document the one to its first leader, and of leaders that
+    share a document one between them, by which all their links are connected too."""
+    held = Sets([s for _, s in lead] + sets)
+    first, pairs, k = np.full(len(docs), -1), set(), len(lead)
+    for i in range(k):
+        near = held.linked(i, np.arange(k, k + len(docs))) - k
+        before = first[near]
+        pairs.update((int(x), i) for x in np.unique(before[before >= 0]))
+        first[near[before < 0]] = i
+    ids = np.array([d for d, _ in lead])
+    own = np.flatnonzero(first >= 0)
+    links = [np.stack([ids[first[own]], docs[own]], 1)]
+    if pairs:
+        p = np.array(sorted(pairs))
+        links.append(np.stack([ids[p[:, 0]], ids[p[:, 1]]], 1))
+    links = np.concatenate(links)
+    return links[links[:, 0] != links[:, 1]]
+
+
 def large_clusters(members: DataFrame) -> DataFrame:
     """doc_id and component of clusters of any size, from rows (cluster, doc_id, text).
 
-    Rounds: some documents of each cluster, bounded in all, are held against every document of their cluster. First those
-    that no earlier leader is linked with, until every document has led or has a leader; then, while a cluster has more than
-    one component, the documents outside its largest, until each of them has led. Then no link can be missing.
+    Rounds: some documents of each cluster, bounded in all, lead: they are held against every document of their cluster.
+    First those that no leader is linked with, until every document has led or has a leader; then, while a cluster has more
+    than one component, the documents outside its largest, until each of them has led. Then no link can be missing.
     """
     spark = members.sparkSession
 
@@ -221,59 +241,62 @@ def large_clusters(members: DataFrame) -> DataFrame:
 
     n = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = written(members.repartition(n).mapInArrow(to_sets, "cluster long, doc_id long, n long, shingles binary"), scratch(spark, "large"))
-    state = written(rows.select("cluster", "doc_id", "n", F.lit(False).alias("led"), F.lit(False).alias("linked"), F.col("doc_id").alias("component")), scratch(spark, "large"))
+    state = rows.select("cluster", "doc_id", "n", F.lit(False).alias("led"), F.lit(False).alias("linked"))
     links: DataFrame | None = None
+    comp: DataFrame | None = None
     while True:
-        waiting = state.where(~F.col("led") & ~F.col("linked"))
-        if waiting.isEmpty():
-            per = state.groupBy("cluster", "component").count()
-            most = per.groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-            waiting = state.where(~F.col("led")).join(most, "cluster").where(F.col("component") != F.col("main"))
-        # Of each cluster some, of all together a bounded number of shingles: the leaders fit on the driver and each executor.
-        first = waiting.orderBy(F.xxhash64("doc_id")).limit(512).select("cluster", "doc_id", "n")
-        chosen, held = [], 0
-        for r in first.collect():
-            if chosen and held + r.n > LEADER_SHINGLES:
-                break
-            chosen.append(r.doc_id)
-            held += r.n
+        waiting, apart = state.where("not led and not linked"), False
+        chosen = _some(waiting)
+        if not chosen:
+            apart = True
+            comp = components(links) if links is not None and not links.isEmpty() else spark.createDataFrame([], "id long, component long")
+            placed = state.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            most = placed.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+            chosen = _some(placed.where("not led").join(most, "cluster").where("component <> main"))
         if not chosen:
             break
         leaders: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for r in rows.where(F.col("doc_id").isin(chosen)).collect():
+        for r in rows.where(F.col("doc_id").isin(chosen)).select("cluster", "doc_id", "shingles").collect():
             leaders.setdefault(r.cluster, []).append((r.doc_id, np.frombuffer(r.shingles, np.uint64)))
+        # At most LEADERS documents and LEADER_SHINGLES shingles, or one document.
         shipped = spark.sparkContext.broadcast(leaders)
 
         def against(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 cluster, doc = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cluster", "doc_id"))
                 sets = [np.frombuffer(s, np.uint64) for s in b.column("shingles").to_pylist()]
-                out_a, out_b = [], []
+                parts = [np.zeros((0, 2), np.int64)]
                 for c in np.unique(cluster):
-                    own = np.flatnonzero(cluster == c)
-                    for i in range(0, len(own), 1000):
+                    own, lead = np.flatnonzero(cluster == c), shipped.value.get(int(c), [])
+                    for i in range(0, len(own) if lead else 0, 1000):
                         some = own[i : i + 1000]
-                        lead = shipped.value.get(int(c), [])
-                        if lead:
-                            held = Sets([s for _, s in lead] + [sets[j] for j in some])
-                            for k, (leader, _) in enumerate(lead):
-                                near = some[held.linked(k, np.arange(len(lead), len(lead) + len(some))) - len(lead)]
-                                out_a.append(np.full(len(near), leader))
-                                out_b.append(doc[near])
-                if out_a:
-                    yield pa.record_batch([pa.array(np.concatenate(out_a).astype(np.int64)), pa.array(np.concatenate(out_b).astype(np.int64))], ["a", "b"])
-
-        new = written(rows.mapInArrow(against, "a long, b long").where("a <> b"), scratch(spark, "large"))
+                        parts.append(leader_links(lead, doc[some], [sets[j] for j in some]))
+                link = np.unique(np.concatenate(parts), axis=0)
+                if len(link):
+                    yield pa.record_batch([pa.array(link[:, 0].copy()), pa.array(link[:, 1].copy())], ["a", "b"])
+
+        new = written(rows.mapInArrow(against, "a long, b long"), scratch(spark, "large"))
         links = new if links is None else links.unionByName(new)
-        comp = components(links) if not links.isEmpty() else spark.createDataFrame([], "id long, component long")
-        hit = new.select(F.col("b").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
-        state = written(
-            state.drop("component").join(hit, "doc_id", "left").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-            .select("cluster", "doc_id", "n", (F.col("led") | F.col("doc_id").isin(chosen)).alias("led"), (F.col("linked") | F.coalesce("hit", F.lit(False))).alias("linked"), F.coalesce("component", "doc_id").alias("component")),
-            scratch(spark, "large"),
-        )
+        led = F.col("led") | F.col("doc_id").isin(chosen)
+        if apart:
+            state = state.withColumn("led", led)
+        else:
+            hit = new.select(F.col("b").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
+            state = state.join(hit, "doc_id", "left").select("cluster", "doc_id", "n", led.alias("led"), (F.col("linked") | F.coalesce("hit", F.lit(False))).alias("linked"))
+        state = written(state, scratch(spark, "large"))
         shipped.unpersist()
-    return state.select("doc_id", "component")
+    return state.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+
+
+def _some(waiting: DataFrame) -> list[int]:
+    """Ids of a bounded number of documents, with a bounded number of shingles unless one alone has more."""
+    out, held = [], 0
+    for r in waiting.orderBy(F.xxhash64("doc_id")).limit(LEADERS).select("doc_id", "n").collect():
+        if out and held + r.n > LEADER_SHINGLES:
+            break
+        out.append(r.doc_id)
+        held += r.n
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -62,6 +62,8 @@ def candidate_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]
     """Packed anchors; of what recurs in this task itself the places go out as found, and one entry for the rest to meet."""
 
     def flush(h: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
+        if not len(h):
+            return
         order = np.lexsort((doc, h))
         at, run = groups(h, order)
         h, doc = h[order], doc[order]
@@ -134,7 +136,7 @@ def window_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
                     hit = (known[at] == key) & (doc != NULL_ID)
                     s = s[hit]
                     parts.append((grams(h, WINDOW)[s], (grams(h, WINDOW, P3)[s] >> np.uint64(32)).astype(np.uint32), doc[hit]))
-        a, b, doc = map(np.concatenate, zip(*parts, strict=True))
+        a, b, doc = map(np.concatenate, zip(*parts, strict=True)) if parts else ([], [], [])
         if len(a):
             order = np.lexsort((doc, b, a))
             a, b, doc = a[order], b[order], doc[order]
@@ -238,7 +240,7 @@ def cleaned(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Reco
             order = np.argsort(a, kind="stable")
             a, owner = a[order], owner[order]
             parts = [phrases_of(w, w.hashes(), a, owner) for b in docs for w in chunks(b)]
-            phrases, owners = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            phrases, owners = (np.concatenate([p[k] for p in parts]) for k in (0, 1)) if parts else ([], [])
             if len(phrases):
                 _, one = np.unique(grams(phrases.ravel(), WINDOW)[::WINDOW], return_index=True)
                 auto = Phrases(phrases[one], owners[one])

@@ -278,3 +278,13 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     joined_ = joined_.join(comp.select("id", "component"), "id", "left") if comp is not None else joined_.withColumn("component", F.lit(None).cast("long"))
     out = joined_.select("vec_id", F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+t AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT t.x, l.y FROM t JOIN l ON t.y = l.x),
+m AS (SELECT x AS vec_id, min(y) AS component_id FROM t GROUP BY x),
+n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x)
+SELECT m.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n USING (vec_id)
+"""

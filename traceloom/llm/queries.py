@@ -61,4 +61,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_host_rules": host_rules.ORACLE_SQL}
+    return {"op3_substring_dedup": substring_dedup.ORACLE_SQL, "op5_minhash": minhash.ORACLE_SQL, "op6_nn_descent": nn_descent.ORACLE_SQL, "op10_host_rules": host_rules.ORACLE_SQL}

@@ -300,3 +300,14 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" if digest else f"{fields}, n_words_ long, n_removed_ long"
     return final.mapInArrow(lambda batches: cleaned(batches, digest), schema)
+
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+f AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k),
+r AS (SELECT DISTINCT doc_id, i + j AS p FROM g JOIN f USING (k), (SELECT unnest(range(13)) AS j) WHERE least < doc_id),
+p AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+k AS (SELECT p.doc_id, count(r.p) AS n, string_agg(x, ' ' ORDER BY p.p) FILTER (WHERE r.p IS NULL) AS t FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.p = r.p GROUP BY p.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""

@@ -222,7 +222,7 @@ def fit(docs: DataFrame, known: DataFrame) -> tuple[Field, np.ndarray]:
             if parts:
                 yield pa.record_batch([b.column("doc_id"), b.column("y").cast(pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "y", "t"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, y int, t binary").orderBy("doc_id", "y", "t").collect()
+    rows = sorted(chosen.mapInArrow(run, "doc_id long, y int, t binary").collect())
     y = np.array([r.y for r in rows], float)
     if not len(rows) or y.min() == y.max():
         mean = float(y.mean()) if len(rows) else 0.0

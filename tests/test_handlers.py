@@ -44,7 +44,8 @@ class Counter(Handler):
 def test_handlers(log):
     counter = Counter()
     out = observe_with(log, [Filter(traces=[[Concept.filter_in("concept:name", ["x", "z"])]]), Filter(events=[[Concept.filter_in("concept:name", ["b", "c", "e"])]]), Upper(), counter])
-    assert out.sequence() == "[BC][]E" and counter.own.get == {"n": 3} and out.meta.attributes["seen"].value is True
+    out.components.write.format("noop").mode("overwrite").save()
+    assert counter.own.get == {"n": 3} and out.sequence() == "[BC][]E" and out.meta.attributes["seen"].value is True
 
 
 def test_python_handler(log):

@@ -34,7 +34,10 @@ class Handler:
         return None, None
 
     def observation(self) -> tuple[Observation, list[Column]] | None:
-        """Aggregates over components (seq, kind, attributes, events) as a side effect of reading the log."""
+        """Aggregates over components (seq, kind, attributes, events) as a side effect of the first action that reads the log.
+
+        That action must read it once: a sort reads its input twice, to sample it first.
+        """
         return None
 
 

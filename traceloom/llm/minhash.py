@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import FLUSH, PACKED, PACKED_SQL, bucket_of, buckets, by_bucket, dealt, joined, packed_rows, record_batches, scratch, texts, written
+from .shared import FLUSH, PACKED, PACKED_SQL, bucket_of, buckets, by_bucket, dealt, dropped, joined, packed_rows, record_batches, scratch, texts, written
 from .words import Words, chunks, grams, inside, mix
 
 SHINGLE, SHARE, BANDS, ROWS, SEED = 5, 75, 40, 4, 11
@@ -302,14 +302,14 @@ def _some(waiting: DataFrame) -> list[int]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     spark = docs.sparkSession
-    own = written(signed(docs), scratch(spark, "minhash"))
+    own = written(signed(docs), own_path := scratch(spark, "minhash"))
     some = own.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = ["n_shingles", "set_a", "set_b"]
     classes = some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copied = classes.where("copies > 1").drop("copies")
     of = written(own.drop("bands").join(copied, key, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), scratch(spark, "minhash"))
     reps = some.join(of.where("doc_id <> rep").select("doc_id").distinct(), "doc_id", "left_anti")
-    links = written(candidate_links(reps), scratch(spark, "minhash"))
+    links = written(candidate_links(reps), links_path := scratch(spark, "minhash"))
     final = of.select("doc_id", "n_shingles", "rep")
     if not links.isEmpty():
         cand = components(links)
@@ -317,14 +317,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         size = sized.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("total"))
         large = size.where((F.col("docs") > TASK_DOCS) | (F.col("total") > TASK_SHINGLES)).select("component", F.lit(True).alias("large"))
         members = cand.join(large, "component", "left").select(F.col("component").alias("cluster"), F.col("id").alias("doc_id"), F.coalesce("large", F.lit(False)).alias("large"))
-        whole = written(texts(docs).dropDuplicates(["doc_id"]).join(members, "doc_id"), scratch(spark, "minhash"))
+        whole = written(texts(docs).dropDuplicates(["doc_id"]).join(members, "doc_id"), whole_path := scratch(spark, "minhash"))
         found = small_clusters(whole.where("not large"))
         if not whole.where("large").isEmpty():
             found = found.unionByName(large_clusters(whole.where("large").drop("large")))
         found = written(found, scratch(spark, "minhash"))
+        dropped(spark, whole_path)
         final = final.join(found.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
     else:
         final = final.withColumn("component", F.lit(None).cast("long"))
+    dropped(spark, own_path, links_path)
     return final.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

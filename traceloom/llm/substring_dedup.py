@@ -292,9 +292,10 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     spark = docs.sparkSession
     n = buckets(spark)
     own = texts(docs)
-    cand = written(_through(dealt(_through(own, candidate_rows, n)), recurring, n), scratch(spark, "passages"))
+    cand = written(_through(dealt(_through(own, candidate_rows, n)), recurring, n), path := scratch(spark, "passages"))
     rows = _through(dealt(packed_documents(own, n).unionByName(cand)), window_rows, n)
     hits = written(_through(dealt(rows), confirmed), scratch(spark, "passages"))
+    dropped(spark, path)
     whole = own if digest else docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     final = dealt(packed_documents(whole, n).unionByName(hits))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text that are handled at once; temporary arrays take about 40 times as much.
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 P1, P2, P3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 #: Stands for a null document id.

@@ -193,7 +193,9 @@ def test_minhash(docs, empty, rows, monkeypatch, task_docs):
         assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [500_000, -1])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 80), (80, 100), (200, 200)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 80 for i in (80, 90, 100)}

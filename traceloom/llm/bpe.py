@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .encoder import byte_letters, path_of
 from .shared import texts
 
-REMEMBERED_PIECES, REMEMBERED_PAIRS = 600_000, 1_500_000
+REMEMBERED_PIECES, REMEMBERED_PAIRS = 1_200_000, 1_500_000
 #: Stands for the end-of-word suffix inside automaton strings.
 END = "\0"
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")

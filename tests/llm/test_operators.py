@@ -219,6 +219,26 @@ def test_nn_descent(spark):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def linked_by_force(v: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links and least reachable row of every row."""
+    hit = (v @ v.T) / np.outer(*[np.linalg.norm(v, axis=1)] * 2) >= 0.93
+    np.fill_diagonal(hit, False)
+    ids, least = graph.labels_of(*np.nonzero(hit | np.eye(len(v), dtype=bool)))
+    return hit.sum(1).tolist(), least.tolist()
+
+
+def test_nn_descent_joins_saturated_groups(spark):
+    """Two groups of 40 that fill each other's lists: what links them is rank 40 and lower of every vector."""
+    rng = np.random.default_rng(6)
+    q = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    side = np.where(np.arange(80) < 40, 1, -1)[:, None]
+    v = q[0] + 0.14 * side * q[1] + 0.1 * rng.standard_normal((80, 62)) @ q[2:] / 62**0.5
+    n_links, least = linked_by_force(v)
+    assert min(n_links) > 40 and set(least) == {0}
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, nn_descent.near_duplicates(df).collect())) == [(i, n_links[i], 0, i == 0) for i in range(80)]
+
+
 def test_host_rules(docs, empty, rows):
     got = {r.doc_id: r for r in host_rules.apply_rules(docs, "h").collect()}
     for i, t in rows:

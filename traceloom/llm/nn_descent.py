@@ -3,8 +3,10 @@
 Equal vectors of a label are one class, and of a class one vector goes on. Neighbour lists start from random-hyperplane
 tables, as many as a pair at the threshold needs to meet in one of them with probability 1 - MISS. Then each round joins
 neighbours of neighbours: every vector gathers the vectors of its list, compares them with each other, and the lists keep
-the best, until few entries change. Lists whose last entry is still above the threshold are saturated; they are enlarged to
-all of their component of the threshold graph, compared in blocks, so that links are counted in full. The recall of links is
+the best, until few entries change. The lists only steer the search: a pair at the threshold that any comparison meets joins
+its vectors, whether or not it fits into their lists; where a vector has more such pairs in a block than a list holds, stars of
+the block's threshold graph stand for all of them. Components of these are compared in blocks, so that links are counted in
+full. The recall of links is
 audited on a bounded query set against all vectors; below AUDIT the search is repeated with more tables.
 
 Only vectors with equal, non-null labels (and equal lengths) are compared, by cosine in double precision. Vectors that are
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import FLUSH, PACKED, PACKED_SQL, bucket_of, buckets, by_bucket, dealt, joined, packed_rows, record_batches, scratch, written
+from .shared import FLUSH, PACKED, PACKED_SQL, bucket_of, buckets, by_bucket, dealt, dropped, joined, packed_rows, record_batches, scratch, written
 from .words import mix
 
 THRESHOLD, LIST, FLOOR, MISS, BLOCK, LOCAL, BRIDGES = 0.93, 12, 0.6, 0.003, 400, 64, 16
@@ -52,8 +55,25 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, label string, raw binary")
 
 
+def stars(left: np.ndarray, right: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Rows (u, v, inf) that join the ids of left and right just as all pairs of hit do: fewer than there are ids."""
+    across = np.ascontiguousarray(hit.T)
+    rows, columns, parts = hit.any(1), np.ones(len(right), bool), []
+    while rows.any():
+        first = int(rows.argmax())
+        front, rows[first] = np.array([first]), False
+        while len(front):
+            c = np.flatnonzero(hit[front].any(0) & columns)
+            columns[c] = False
+            front = np.flatnonzero(across[c].any(0) & rows)
+            rows[front] = False
+            for ids in (right[c], left[front]):
+                parts.append(np.stack([ids.view(np.float64), np.full(len(ids), left[first]).view(np.float64), np.full(len(ids), np.inf)], 1))
+    return np.concatenate(parts) if parts else np.zeros((0, 3))
+
+
 def best_in(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Rows (u, v, s): of each vector the LIST most similar others of the block, at FLOOR or above."""
+    """Rows (u, v, s): of each vector the LIST most similar others of the block, at FLOOR or above; if one has more links, stars of all."""
     s = v @ v.T
     np.fill_diagonal(s, -2)
     k = min(LIST, len(ids) - 1)
@@ -62,7 +82,9 @@ def best_in(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
     value = np.take_along_axis(s, top, 1)
     a, j = np.nonzero(value >= FLOOR)
-    return np.stack([ids[a].view(np.float64), ids[top[a, j]].view(np.float64), value[a, j]], 1)
+    best = np.stack([ids[a].view(np.float64), ids[top[a, j]].view(np.float64), value[a, j]], 1)
+    hit = s >= THRESHOLD
+    return np.concatenate([best, stars(ids, ids, hit)]) if (hit.sum(1) > k).any() else best
 
 
 def edge_bytes(parts: list[np.ndarray]) -> bytes:
@@ -125,7 +147,8 @@ def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shortened(edges: DataFrame, size: int = LIST) -> DataFrame:
-    """Of each vector the size best neighbours; entries of either direction count."""
+    """Of each vector the size best neighbours; entries of either direction count, stars don't."""
+    edges = edges.where("s <= 2")
     both = edges.select("u", "v", "s").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")).groupBy("u", "v").agg(F.max("s").alias("s"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
     return both.withColumn("r", rank).where(F.col("r") <= size).drop("r")
@@ -168,21 +191,33 @@ def _edges(parts: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(e[:, 0].copy().view(np.int64)), pa.array(e[:, 1].copy().view(np.int64)), pa.array(e[:, 2])], schema=EDGES)
 
 
-def neighbour_lists(reps: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
+def found_links(reps: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
+    """u and v that join what is linked: every pair at the threshold that a comparison met is in them, or joined by stars."""
     spark = reps.sparkSession
     n = buckets(spark)
+
+    def kept(found: DataFrame) -> tuple[DataFrame, str]:
+        found = written(found, path := scratch(spark, "found"))
+        links.append(written(found.where(F.col("s") >= THRESHOLD).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), scratch(spark, "links")))
+        return found, path
+
+    links: list[DataFrame] = []
     packed = reps.select("id", "raw", F.xxhash64("label").alias("group")).mapInArrow(lambda it: record_batches(table_rows(it, n, tables, bits, seed), PACKED), PACKED_SQL)
-    lists = written(shortened(dealt(packed).mapInArrow(lists_of, "u long, v long, s double")), scratch(spark, "neighbours"))
+    found, path = kept(dealt(packed).mapInArrow(lists_of, "u long, v long, s double"))
+    lists = written(shortened(found), scratch(spark, "neighbours"))
+    dropped(spark, path)
     for _ in range(ROUNDS):
         size = lists.count()
         if not size:
             break
-        fresh = written(shortened(lists.unionByName(joined_neighbours(lists, reps))), scratch(spark, "neighbours"))
+        found, path = kept(joined_neighbours(lists, reps))
+        fresh = written(shortened(lists.unionByName(found)), scratch(spark, "neighbours"))
+        dropped(spark, path)
         changed = fresh.join(lists, ["u", "v"], "left_anti").count()
         lists = fresh
         if changed <= CHANGED * size:
             break
-    return lists
+    return reduce(DataFrame.unionByName, links)
 
 
 def counted(reps: DataFrame, comp: DataFrame) -> DataFrame:
@@ -264,8 +299,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     tables = math.ceil(math.log(MISS) / math.log(1 - meet**bits))
     edges, comp, links = None, None, None
     for k in range(TRIES):
-        lists = neighbour_lists(classes, tables, bits, k)
-        new = lists.where(F.col("s") >= THRESHOLD).select("u", "v")
+        new = found_links(classes, tables, bits, k)
         edges = new if edges is None else edges.unionByName(new)
         if edges.isEmpty():
             comp, links = None, spark.createDataFrame([], "id long, n long")

@@ -9,11 +9,13 @@ import zlib
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from traceloom.llm import bpe, graph, host_rules, minhash, nn_descent, packing, pseudo_likelihood, quality_bt, substring_dedup, token_store, toxicity
 from traceloom.llm.encoder import Encoder, path_of
+from traceloom.llm.shared import record_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, n_words long, kind string, h string"
@@ -239,6 +241,40 @@ def test_nn_descent_joins_saturated_groups(spark):
     assert sorted(map(tuple, nn_descent.near_duplicates(df).collect())) == [(i, n_links[i], 0, i == 0) for i in range(80)]
 
 
+def test_nn_descent_hot_direction(spark):
+    """Pairs far apart in row order among 3,000 vectors of a label at cosine 0.85 to one another."""
+    rng = np.random.default_rng(7)
+    q = np.linalg.qr(rng.standard_normal((128, 128)))[0]
+    noise = rng.standard_normal((3000, 127)) @ q[1:]
+    for i in range(0, 200, 2):
+        noise[2900 + i // 2] = 0.6 * noise[i] + 0.8 * noise[2900 + i // 2]
+    v = 0.85**0.5 * q[0] + 0.15**0.5 * noise / np.linalg.norm(noise, axis=1)[:, None]
+    n_links, least = linked_by_force(v)
+    assert 150 < sum(n_links) <= 200
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").repartition(4)
+    assert sorted(map(tuple, nn_descent.near_duplicates(df).collect())) == [(i, n_links[i], least[i], i == least[i]) for i in range(3000)]
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_all_blocks_of_a_hot_key_meet(whole):
+    rng = np.random.default_rng(8)
+    v = np.repeat(rng.standard_normal((40, 8)), 10, axis=0) + 0.25 * rng.standard_normal((400, 8))
+    group, unit = np.full(400, 5, np.uint64), v / np.linalg.norm(v, axis=1)[:, None]
+    hot = np.unique(nn_descent.table_keys(unit, group, 8, 0, 4, 0))
+
+    def found(hot: np.ndarray, blocks: int) -> np.ndarray:
+        batch = pa.record_batch([pa.array(range(400)), pa.array([x.tobytes() for x in v]), pa.array([5] * 400), pa.array([blocks if whole else 0] * 400)], ["id", "raw", "group", "blocks"])
+        packed = sorted(nn_descent.table_rows([batch], 64, 1, 4, 0, hot, np.full(len(hot), blocks)))
+        parts = [np.stack([b.column(c).to_numpy() for c in "uvs"], 1) for b in nn_descent.lists_of(record_batches(packed, nn_descent.PACKED))]
+        edges = np.concatenate(parts)
+        u, w = edges[edges[:, 2] >= 0.93][:, :2].astype(int).T
+        return graph.labels_of(np.r_[u, range(400)], np.r_[w, range(400)])[1]
+
+    assert (found(hot, 3) == found(hot[:0], 1)).all() and len(set(found(hot, 3))) < 200
+    if whole:
+        assert found(hot, 3).tolist() == linked_by_force(v)[1]
+
+
 def test_host_rules(docs, empty, rows):
     got = {r.doc_id: r for r in host_rules.apply_rules(docs, "h").collect()}
     for i, t in rows:

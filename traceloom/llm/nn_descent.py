@@ -1,7 +1,9 @@
 """Near-duplicate embeddings by NN-descent.
 
 Equal vectors of a label are one class, and of a class one vector goes on. Neighbour lists start from random-hyperplane
-tables, as many as a pair at the threshold needs to meet in one of them with probability 1 - MISS. Then each round joins
+tables, as many as a pair at the threshold needs to meet in one of them with probability 1 - MISS. All vectors of a key are
+compared with each other, over all executors in pairs of blocks if they are many; a label for which that would be no fewer
+pairs than there are at all is compared whole, once, which is exact. Then each round joins
 neighbours of neighbours: every vector gathers the vectors of its list, compares them with each other, and the lists keep
 the best, until few entries change. The lists only steer the search: a pair at the threshold that any comparison meets joins
 its vectors, whether or not it fits into their lists; where a vector has more such pairs in a block than a list holds, stars of
@@ -28,11 +30,13 @@ from .graph import components
 from .shared import FLUSH, PACKED, PACKED_SQL, bucket_of, buckets, by_bucket, dealt, dropped, joined, packed_rows, record_batches, scratch, written
 from .words import mix
 
-THRESHOLD, LIST, FLOOR, MISS, BLOCK, LOCAL, BRIDGES = 0.93, 12, 0.6, 0.003, 400, 64, 16
+THRESHOLD, LIST, FLOOR, MISS, BLOCK = 0.93, 12, 0.6, 0.003, 400
+#: Vectors of a table key that are compared at once; of more, all pairs of blocks are compared by all executors.
+SQUARE = 1000
 #: Vectors of the audit at most, the recall it asks for, tries, rounds of each, and the share of changed entries that ends them.
 QUERIES, AUDIT, TRIES, ROUNDS, CHANGED = 1000, 0.98, 3, 4, 0.01
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float64())])
-ENTRY, EDGE = 1, 2
+ENTRY, WHOLE = 1, 2
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -72,78 +76,121 @@ def stars(left: np.ndarray, right: np.ndarray, hit: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, 3))
 
 
-def best_in(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Rows (u, v, s): of each vector the LIST most similar others of the block, at FLOOR or above; if one has more links, stars of all."""
-    s = v @ v.T
-    np.fill_diagonal(s, -2)
-    k = min(LIST, len(ids) - 1)
+def best_in(ids: np.ndarray, v: np.ndarray, others: np.ndarray | None = None, w: np.ndarray | None = None, lists: bool = True) -> np.ndarray:
+    """Rows (u, v, s): of each vector the LIST most similar others, at FLOOR or above; if one has more links, stars of all.
+
+    Others are those of the block, or of a second one; without lists there are stars alone.
+    """
+    one = others is None
+    others, w = (ids, v) if one else (others, w)
+    s = v @ w.T
+    if one:
+        np.fill_diagonal(s, -2)
+    k = min(LIST, len(others) - one)
     if k <= 0:
         return np.zeros((0, 3))
+    hit = s >= THRESHOLD
+    if not lists:
+        return stars(ids, others, hit)
     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
     value = np.take_along_axis(s, top, 1)
     a, j = np.nonzero(value >= FLOOR)
-    best = np.stack([ids[a].view(np.float64), ids[top[a, j]].view(np.float64), value[a, j]], 1)
-    hit = s >= THRESHOLD
-    return np.concatenate([best, stars(ids, ids, hit)]) if (hit.sum(1) > k).any() else best
+    best = np.stack([ids[a].view(np.float64), others[top[a, j]].view(np.float64), value[a, j]], 1)
+    return np.concatenate([best, stars(ids, others, hit)]) if (hit.sum(1) > k).any() else best
+
+
+def same_size(b: pa.RecordBatch) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, whether whole, ids, unit vectors, groups, blocks) of a batch's vectors of one length that are compared alike."""
+    raw, ids, group, blocks = b.column("raw").to_pylist(), b.column("id").to_numpy(), b.column("group").to_numpy(), b.column("blocks").to_numpy()
+    kind = np.array([2 * len(r) for r in raw], np.int64) + (blocks > 0)
+    for k in np.unique(kind):
+        at = np.flatnonzero(kind == k)
+        yield int(k) // 16, bool(k % 2), ids[at], unit([raw[i] for i in at]), group[at].view(np.uint64), blocks[at]
+
+
+def table_keys(v: np.ndarray, group: np.ndarray, size: int, t: int, bits: int, seed: int) -> np.ndarray:
+    """Keys of table t: the sides of bits random hyperplanes; without bits, one key for each group."""
+    key = mix(group + np.uint64(t * 1_000_003 + size))
+    if bits:
+        rng = np.random.default_rng([seed, t, 8 * size])
+        key = mix(((v @ rng.standard_normal((v.shape[1], bits)) > 0).astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(1) + key)
+    return key
+
+
+def key_counts(reps: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
+    """group, key and n, the vectors of each key of all tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for size, _, _, v, group, _ in same_size(b):
+                for t in range(tables):
+                    key, first, n = np.unique(table_keys(v, group, size, t, bits, seed), return_index=True, return_counts=True)
+                    yield pa.record_batch([pa.array(group[first].view(np.int64)), pa.array(key.view(np.int64)), pa.array(n)], ["group", "key", "n"])
+
+    return reps.mapInArrow(run, "group long, key long, n long").groupBy("group", "key").agg(F.sum("n").alias("n"))
 
 
-def edge_bytes(parts: list[np.ndarray]) -> bytes:
-    return np.concatenate(parts).tobytes() if parts else b""
+def whole_groups(counts: DataFrame, tables: int) -> DataFrame:
+    """group and blocks of the groups whose pairs are no more than those that the tables would compare: they are compared whole."""
+    sums = counts.groupBy("group").agg((F.sum("n") / tables).alias("m"), F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+    return sums.where("pairs >= m * m").select("group", F.ceil(F.col("m") / SQUARE).cast("long").alias("blocks"))
 
 
-def table_rows(batches: Iterator[pa.RecordBatch], n: int, tables: int, bits: int, seed: int) -> Iterator[tuple]:
-    """Vectors packed by table key. Where a task holds many of a key it compares them in blocks and sends some on as bridges."""
-    count = 0
+def table_rows(batches: Iterator[pa.RecordBatch], n: int, tables: int, bits: int, seed: int, hot: np.ndarray, hot_blocks: np.ndarray) -> Iterator[tuple]:
+    """Vectors packed by table key, or by group where that is compared whole.
+
+    A key of more than SQUARE vectors is cut into blocks, and each pair of them is a bucket of its own, so all pairs meet.
+    """
     for b in batches:
-        raw, ids, label = b.column("raw").to_pylist(), b.column("id").to_numpy(), b.column("group").to_numpy()
-        for size in sorted({len(r) for r in raw}):
-            at = np.array([i for i, r in enumerate(raw) if len(r) == size])
-            v, own, group = unit([raw[i] for i in at]), ids[at], label[at].view(np.uint64)
-            for t in range(tables):
-                rng = np.random.default_rng([seed, t, size])
-                key = mix(((v @ rng.standard_normal((v.shape[1], bits)) > 0).astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(1) + mix(group + np.uint64(t * 1_000_003 + size)))
-                order = np.argsort(key, kind="stable")
-                k = key[order]
-                fresh = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-                send, edges = [], []
-                for i, j in zip(fresh, np.r_[fresh[1:], len(k)], strict=True):
-                    if j - i <= LOCAL:
-                        send.append(order[i:j])
-                    else:
-                        for c in range(i, j, BLOCK):
-                            some = order[c : min(j, c + BLOCK)]
-                            edges.append(best_in(own[some], v[some]))
-                            send.append(some[:BRIDGES])
-                send = np.concatenate(send)
-                for bucket, (x, y, z) in packed_rows(bucket_of(key[send], n), key[send], own[send], v[send]):
-                    yield bucket, ENTRY, x, y, z, b""
-                if edges:
-                    count += 1
-                    yield count % n, EDGE, edge_bytes(edges), b"", b"", b""
+        for size, whole, own, v, group, blocks in same_size(b):
+            for t in range(1 if whole else tables):
+                key = table_keys(v, group, size, t, 0 if whole else bits, seed)
+                if not whole:
+                    blocks = np.ones(len(key), np.int64)
+                    if len(hot):
+                        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                        blocks = np.where(hot[at] == key, hot_blocks[at], 1)
+                mine = (mix(own.view(np.uint64) + np.uint64(seed)) % blocks.astype(np.uint64)).astype(np.int64)
+                kind = WHOLE if whole else ENTRY
+                for j in range(int(blocks.max())):
+                    at = np.flatnonzero(blocks > j)
+                    x, y = np.minimum(mine[at], j), np.maximum(mine[at], j)
+                    pair = np.where(blocks[at] > 1, mix(key[at] + mix((x << 32 | y).astype(np.uint64))), key[at])
+                    bucket = bucket_of(pair, n) + np.where(blocks[at] > 1, n + (pair >> np.uint64(35)).astype(np.int64), 0)
+                    order = np.lexsort((pair, bucket))
+                    side = (2 * (x != y) + (mine[at] != x)).astype(np.int8)
+                    for k, (p, i, w, z) in packed_rows(bucket[order], pair[order], own[at][order], v[at][order], side[order]):
+                        yield k, kind, p, i, w, z
 
 
 def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges among the vectors of each table key."""
+    """Edges among the vectors of each table key, or of each pair of its blocks."""
+    parts, size = [], 0
     for _, rows in by_bucket(batches):
-        edges = [np.frombuffer(r[2], np.float64).reshape(-1, 3) for r in rows if r[1] == EDGE]
-        own = [r for r in rows if r[1] == ENTRY]
-        if own:
-            key, ids = joined(own, 2, np.uint64), joined(own, 3, np.int64)
-            v = [x for r in own for x in np.frombuffer(r[4], np.float64).reshape(len(r[2]) // 8, -1)]
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            fresh = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            ends = np.r_[fresh[1:], len(k)]
-            for i, j in zip(fresh, ends, strict=True):
-                if j - i > 1:
-                    for c in range(i, j, BLOCK // 2):  # blocks overlap by half
-                        some = order[c : min(j, c + BLOCK)]
-                        edges.append(best_in(ids[some], np.array([v[x] for x in some])))
-                        if c + BLOCK >= j:
-                            break
-        if edges:
-            e = np.unique(np.concatenate(edges), axis=0)
-            yield pa.record_batch([pa.array(e[:, 0].copy().view(np.int64)), pa.array(e[:, 1].copy().view(np.int64)), pa.array(e[:, 2])], schema=EDGES)
+        for kind in (ENTRY, WHOLE):
+            own = [r for r in rows if r[1] == kind]
+            if own:
+                key, ids, side = joined(own, 2, np.uint64), joined(own, 3, np.int64), joined(own, 5, np.int8)
+                v = [x for r in own for x in np.frombuffer(r[4], np.float64).reshape(len(r[2]) // 8, -1)]
+                order = np.lexsort((side, key))
+                k = key[order]
+                fresh = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+                for i, j in zip(fresh, np.r_[fresh[1:], len(k)], strict=True):
+                    if j - i > 1:
+                        at = order[i:j]
+                        if side[at[0]] < 2:
+                            new = [best_in(ids[at], np.array([v[x] for x in at]), lists=kind == ENTRY)]
+                        else:
+                            a, b = at[side[at] == 2], at[side[at] == 3]
+                            p, q = (np.array([v[x] for x in z]) for z in (a, b))
+                            new = [best_in(ids[a], p, ids[b], q, kind == ENTRY), best_in(ids[b], q, ids[a], p)] if len(a) and len(b) and kind == ENTRY else [best_in(ids[a], p, ids[b], q, False)] if len(a) and len(b) else []
+                        parts += new
+                        size += sum(map(len, new))
+                if size > FLUSH // 8:
+                    yield _edges(parts)
+                    parts, size = [], 0
+    if size:
+        yield _edges(parts)
 
 
 def shortened(edges: DataFrame, size: int = LIST) -> DataFrame:
@@ -202,7 +249,18 @@ def found_links(reps: DataFrame, tables: int, bits: int, seed: int) -> DataFrame
         return found, path
 
     links: list[DataFrame] = []
-    packed = reps.select("id", "raw", F.xxhash64("label").alias("group")).mapInArrow(lambda it: record_batches(table_rows(it, n, tables, bits, seed), PACKED), PACKED_SQL)
+    grouped = reps.select("id", "raw", F.xxhash64("label", F.length("raw")).alias("group"))
+    if bits:
+        counts = written(key_counts(grouped.withColumn("blocks", F.lit(0).cast("long")), tables, bits, seed), scratch(spark, "keys"))
+        whole = written(whole_groups(counts, tables), scratch(spark, "keys"))
+        over = counts.where(F.col("n") > SQUARE).join(whole, "group", "left_anti").select("key", F.ceil(F.col("n") / SQUARE).alias("blocks")).toArrow()
+    else:
+        whole, over = written(grouped.groupBy("group").agg(F.ceil(F.count("*") / SQUARE).cast("long").alias("blocks")), scratch(spark, "keys")), None
+    hot, blocks = (over.column(c).to_numpy().astype(np.int64) for c in ("key", "blocks")) if over is not None else (np.zeros(0, np.int64),) * 2
+    order = np.argsort(hot.view(np.uint64))
+    hot, blocks = hot.view(np.uint64)[order], blocks[order]
+    planned = grouped.join(whole, "group", "left").select("id", "raw", "group", F.coalesce("blocks", F.lit(0).cast("long")).alias("blocks"))
+    packed = planned.mapInArrow(lambda it: record_batches(table_rows(it, n, tables, bits, seed, hot, blocks), PACKED), PACKED_SQL)
     found, path = kept(dealt(packed).mapInArrow(lists_of, "u long, v long, s double"))
     lists = written(shortened(found), scratch(spark, "neighbours"))
     dropped(spark, path)

@@ -255,6 +255,29 @@ def test_nn_descent_hot_direction(spark):
     assert sorted(map(tuple, nn_descent.near_duplicates(df).collect())) == [(i, n_links[i], least[i], i == least[i]) for i in range(3000)]
 
 
+def test_nn_descent_audit(spark):
+    """A large group found in full doesn't hide lost pairs."""
+    rng = np.random.default_rng(9)
+    big, pairs = np.r_[1, np.zeros(31)] + 0.01 * rng.standard_normal((2000, 32)), np.repeat(rng.standard_normal((50, 32)), 2, axis=0)
+    pairs[1::2] *= 1 + 0.01 * rng.standard_normal((50, 32))
+    v, ids = np.concatenate([big, pairs]), [*range(2000), *(2000 + 50 * (i // 2) + i % 2 for i in range(100))]
+    n = linked_by_force(v)[0]
+    assert n == [1999] * 2000 + [1] * 100
+    reps = spark.createDataFrame([(i, x.tobytes(), "a", 1, i % 50 == 0) for i, x in zip(ids, v, strict=True)], "id long, raw binary, label string, copies long, asked boolean")
+    links = spark.createDataFrame(list(zip(ids, n, strict=True)), "id long, n long")
+    assert nn_descent.audit(reps, links) == 1 and nn_descent.audit(reps, links.where("id < 2000")) < 0.5
+
+
+def test_nn_descent_falls_back(spark, monkeypatch):
+    """If no table finds a link, the labels are compared whole."""
+    search = nn_descent.found_links
+    monkeypatch.setattr(nn_descent, "found_links", lambda reps, tables, bits, seed: search(reps, tables, bits, seed).limit(0 if bits else 1_000_000))
+    v = np.repeat(np.eye(8), 50, axis=0) + 0.05 * np.random.default_rng(10).standard_normal((400, 8))
+    n_links, least = linked_by_force(v)
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, nn_descent.near_duplicates(df).collect())) == [(i, n_links[i], least[i], i == least[i]) for i in range(400)]
+
+
 @pytest.mark.parametrize("whole", [False, True])
 def test_all_blocks_of_a_hot_key_meet(whole):
     rng = np.random.default_rng(8)

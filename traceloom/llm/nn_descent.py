@@ -8,8 +8,8 @@ neighbours of neighbours: every vector gathers the vectors of its list, compares
 the best, until few entries change. The lists only steer the search: a pair at the threshold that any comparison meets joins
 its vectors, whether or not it fits into their lists; where a vector has more such pairs in a block than a list holds, stars of
 the block's threshold graph stand for all of them. Components of these are compared in blocks, so that links are counted in
-full. The recall of links is
-audited on a bounded query set against all vectors; below AUDIT the search is repeated with more tables.
+full. The recall of links is audited on all ids divisible by ASKED against all vectors; below AUDIT the search is repeated
+with more tables, and after TRIES of them every label is compared whole.
 
 Only vectors with equal, non-null labels (and equal lengths) are compared, by cosine in double precision. Vectors that are
 null, empty, zero or hold null or non-finite components link with nothing. Repeated ids are rows of their own.
@@ -33,8 +33,8 @@ from .words import mix
 THRESHOLD, LIST, FLOOR, MISS, BLOCK = 0.93, 12, 0.6, 0.003, 400
 #: Vectors of a table key that are compared at once; of more, all pairs of blocks are compared by all executors.
 SQUARE = 1000
-#: Vectors of the audit at most, the recall it asks for, tries, rounds of each, and the share of changed entries that ends them.
-QUERIES, AUDIT, TRIES, ROUNDS, CHANGED = 1000, 0.98, 3, 4, 0.01
+#: The audit asks ids divisible by ASKED; the recall it asks for, tries, rounds of each, and the share of changed entries that ends them.
+ASKED, AUDIT, TRIES, ROUNDS, CHANGED = 50, 0.98, 3, 4, 0.01
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float64())])
 ENTRY, WHOLE = 1, 2
 
@@ -278,9 +278,27 @@ def found_links(reps: DataFrame, tables: int, bits: int, seed: int) -> DataFrame
     return reduce(DataFrame.unionByName, links)
 
 
+def by_pair(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(component, x, y) of each pair of blocks and its rows."""
+    now, rows = None, []
+    for b in batches:
+        for c, x, y, *row in zip(*(b.column(k).to_pylist() for k in ("component", "x", "y", *columns)), strict=True):
+            if (c, x, y) != now:
+                if rows:
+                    yield now, rows
+                now, rows = (c, x, y), []
+            rows.append(tuple(row))
+    if rows:
+        yield now, rows
+
+
+def in_pairs(pairs: DataFrame) -> DataFrame:
+    n = max(32, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.repartition(n, "component", "x", "y").sortWithinPartitions("component", "x", "y")
+
+
 def counted(reps: DataFrame, comp: DataFrame) -> DataFrame:
     """id and n, links with vectors of other classes, by comparing each component's vectors in blocks."""
-    spark = reps.sparkSession
     blocks = comp.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = comp.join(blocks, "component").join(reps, "id").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "copies", "raw")
@@ -300,49 +318,38 @@ def counted(reps: DataFrame, comp: DataFrame) -> DataFrame:
             if x != y:
                 yield from zip([r[1] for r in right], (hit.T @ np.array([r[2] for r in left])).tolist(), strict=True)
 
-        def all_rows() -> Iterator[tuple]:
-            now, rows = None, []
-            for b in batches:
-                for c, x, y, i, id_, copies, raw in zip(*(b.column(k).to_pylist() for k in ("component", "x", "y", "i", "id", "copies", "raw")), strict=True):
-                    if (c, x, y) != now:
-                        if rows:
-                            yield from count(now, rows)
-                        now, rows = (c, x, y), []
-                    rows.append((i, id_, copies, raw))
-            if rows:
-                yield from count(now, rows)
-
-        return record_batches(all_rows(), pa.schema([("id", pa.int64()), ("n", pa.int64())]))
+        counts = (row for key, rows in by_pair(batches, "i", "id", "copies", "raw") for row in count(key, rows))
+        return record_batches(counts, pa.schema([("id", pa.int64()), ("n", pa.int64())]))
 
-    n = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return pairs.repartition(n, "component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return in_pairs(pairs).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def audit(reps: DataFrame, links: DataFrame) -> float:
-    """Share of the links of at most QUERIES vectors, held against all others, that links (id, n) has."""
-    queries = reps.where("id % 50 = 0").orderBy(F.xxhash64("id")).limit(QUERIES).select("id", "label", "raw").collect()
-    if not queries:
-        return 1.0
-    wanted: dict[tuple, list] = {}
-    for q in queries:
-        wanted.setdefault((q.label, len(q.raw)), []).append(q)
-    held = {k: ([q.id for q in qs], unit([q.raw for q in qs])) for k, qs in wanted.items()}
+    """Share of a vector's links, held against all others in blocks, that links (id, n) has: the mean over all asked vectors
+    with links, or that with each group of linked vectors weighing about as much as any other, whichever is less."""
+    own = reps.select(F.xxhash64("label", F.length("raw")).alias("component"), "id", "copies", "raw", "asked")
+    sizes = own.groupBy("component").agg(F.ceil(F.count("*") / SQUARE).cast("int").alias("blocks"), F.ceil(F.sum(F.col("asked").cast("int")) / SQUARE).cast("int").alias("query_blocks")).where("query_blocks > 0")
+    own = own.join(sizes, "component").withColumn("h", F.xxhash64("id"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = own.withColumn("x", F.pmod("h", "blocks").cast("int")).withColumn("y", each("query_blocks")).withColumn("query", F.lit(False))
+    queries = own.where("asked").withColumn("x", each("blocks")).withColumn("y", F.pmod("h", "query_blocks").cast("int")).withColumn("query", F.lit(True))
+    columns = ["component", "x", "y", "query", "id", "copies", "raw"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, labels, copies, raw = (b.column(c).to_pylist() for c in ("id", "label", "copies", "raw"))
-            out_i, out_n = [], []
-            for (label, size), (own, v) in held.items():
-                at = [i for i in range(len(ids)) if labels[i] == label and len(raw[i]) == size]
-                if at:
-                    hit = (v @ unit([raw[i] for i in at]).T >= THRESHOLD) & (np.array(own)[:, None] != np.array([ids[i] for i in at])[None, :])
-                    out_i += own
-                    out_n += (hit @ np.array([copies[i] for i in at])).tolist()
-            yield pa.record_batch([pa.array(out_i, pa.int64()), pa.array(out_n, pa.int64())], ["id", "n"])
+        def count(rows: list[tuple]) -> Iterator[tuple]:
+            asked, others = ([r for r in rows if r[0] == k] for k in (True, False))
+            if asked and others:
+                hit = unit([r[3] for r in asked]) @ unit([r[3] for r in others]).T >= THRESHOLD
+                hit &= np.array([r[1] for r in asked])[:, None] != np.array([r[1] for r in others])
+                yield from zip([r[1] for r in asked], (hit @ np.array([r[2] for r in others])).tolist(), strict=True)
+
+        counts = (row for _, rows in by_pair(batches, *columns[3:]) for row in count(rows))
+        return record_batches(counts, pa.schema([("id", pa.int64()), ("n", pa.int64())]))
 
-    true = reps.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("real")).where("real > 0")
-    got = true.join(links, "id", "left").agg(F.sum("real"), F.sum(F.least(F.coalesce("n", F.lit(0)), F.col("real")))).first()
-    return got[1] / got[0] if got[0] else 1.0
+    true = in_pairs(held.select(columns).unionByName(queries.select(columns))).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("real")).where("real > 0")
+    got = true.join(links, "id", "left").select((F.least(F.coalesce("n", F.lit(0)), F.col("real")) / F.col("real")).alias("recall"), (1 / (1 + F.col("real"))).alias("w"))
+    mean, even = got.agg(F.avg("recall"), F.sum(F.col("recall") * F.col("w")) / F.sum("w")).first()
+    return 1.0 if mean is None else min(mean, even)
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -350,21 +357,21 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     spark = vectors.sparkSession
     own = written(valid_vectors(vectors), scratch(spark, "vectors"))
     some = own.where(F.col("raw").isNotNull() & F.col("vec_id").isNotNull())
-    classes = written(some.groupBy("label", "raw").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), scratch(spark, "vectors"))
+    classes = written(some.groupBy("label", "raw").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.bool_or(F.col("vec_id") % ASKED == 0).alias("asked")), scratch(spark, "vectors"))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits = max(4, min(24, round(math.log2(max(1, most) / 8))))
     meet = 1 - math.acos(THRESHOLD) / math.pi
     tables = math.ceil(math.log(MISS) / math.log(1 - meet**bits))
     edges, comp, links = None, None, None
-    for k in range(TRIES):
-        new = found_links(classes, tables, bits, k)
+    for k in range(TRIES + 1):
+        new = found_links(classes, tables, bits, k) if k < TRIES else found_links(classes, 1, 0, k)
         edges = new if edges is None else edges.unionByName(new)
         if edges.isEmpty():
             comp, links = None, spark.createDataFrame([], "id long, n long")
         else:
             comp = components(edges, "u", "v")
             links = written(counted(classes, comp), scratch(spark, "links"))
-        if audit(classes, links) >= AUDIT:
+        if k == TRIES or audit(classes, links) >= AUDIT:
             break
     joined_ = own.join(classes, ["label", "raw"], "left").drop("raw", "label").join(links, "id", "left")
     joined_ = joined_.join(comp.select("id", "component"), "id", "left") if comp is not None else joined_.withColumn("component", F.lit(None).cast("long"))

@@ -390,6 +390,11 @@ def test_pseudo_likelihood(spark, docs, empty, rows):
     assert out[0] > out[60]
 
 
+def test_every_word_is_a_target():
+    for n in (0, 1, 7, 1000):
+        assert sorted(np.concatenate([pseudo_likelihood.places(turn, n) for turn in range(pseudo_likelihood.ROUNDS)])) == list(range(n))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_pipeline(spark):
     import corpus_pipeline

@@ -3,8 +3,8 @@
 A small network predicts each word from the words on both sides, SIDE on each: embeddings by place are summed, squashed and
 mapped to a softmax over the vocabulary, which has the most frequent words of the whole corpus and hash classes for all
 others. Word counts are summed over all documents. Training runs on every partition at once: each takes minibatch steps
-from the common weights over its own documents (in each round one in STRIDE places of every document is a target), and the
-weights are averaged by the number of targets, in two levels, so the driver gets a bounded number of them. A document's
+from the common weights over its own documents (a round has one in ROUNDS places of every document as targets, so that after
+all of them each place has been one), and the weights are averaged by the number of targets, in two levels, so the driver gets a bounded number of them. A document's
 score is the sum of the conditional log-probabilities of all its words, and their mean. Null and empty texts score 0.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import FLUSH, PACKED, PACKED_SQL, bucket_of, buckets, by_bucket, dealt, joined, packed_rows, record_batches, texts
 from .words import Words, chunks
 
-FREQUENT, CLASSES, SIDE, WIDTH, STRIDE, ROUNDS, BATCH, RATE, GROUPS, SEED = 127, 128, 2, 12, 8, 2, 2048, 0.15, 32, 5
+FREQUENT, CLASSES, SIDE, WIDTH, ROUNDS, BATCH, RATE, GROUPS, SEED = 127, 128, 2, 12, 2, 2048, 0.15, 32, 5
 PAD = FREQUENT + CLASSES
 SIZE = PAD + 1
 
@@ -136,6 +136,11 @@ class Network:
         np.clip(bias, -12, 12, out=bias)
 
 
+def places(turn: int, n: int) -> np.ndarray:
+    """Targets among n places in a round; the rounds share all places out."""
+    return np.arange(turn, n, ROUNDS)
+
+
 def train(docs: DataFrame, vocabulary: np.ndarray) -> bytes:
     own, weights = texts(docs), Network().flat().tobytes()
     for turn in range(ROUNDS):
@@ -147,7 +152,7 @@ def train(docs: DataFrame, vocabulary: np.ndarray) -> bytes:
                 for b in batches:
                     for w in chunks(b, lower=True):
                         t = ids_of(w, vocabulary)
-                        at = np.arange(turn * STRIDE // ROUNDS, len(t), STRIDE)
+                        at = places(turn, len(t))
                         at = np.random.default_rng([SEED, turn, len(t)]).permutation(at)
                         for i in range(0, len(at), BATCH):
                             some = at[i : i + BATCH]

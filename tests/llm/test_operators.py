@@ -390,6 +390,22 @@ def test_pseudo_likelihood(spark, docs, empty, rows):
     assert out[0] > out[60]
 
 
+def test_words_of_a_class_are_told_apart(spark):
+    """Of two words of one class in equal places, one 40 times and one once, the scores differ by log 40."""
+    from traceloom.llm.words import words_of
+
+    names = " ".join(f"x{i}" for i in range(2000))
+    w = words_of(np.frombuffer(names.encode(), np.uint8), np.array([0]), np.array([0, len(names)]))
+    c = pseudo_likelihood.class_of(w.hashes())
+    often, once = (names.split()[i] for i in np.flatnonzero(c == c[0])[:2])
+    common = [f"c{i}" for i in range(pseudo_likelihood.FREQUENT)]
+    text = [(i, " ".join(common)) for i in range(60)] + [(100 + i, f"c1 c2 {often} c3 c4") for i in range(40)] + [(None, f"c1 c2 {once} c3 c4")]
+    got = pseudo_likelihood.score(spark.createDataFrame([*text, (70, None), (80, "c1"), (80, "c1"), (80, "c2")], "doc_id long, text string")).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(text) + 4 and np.isclose(by[100].log_likelihood - by[None].log_likelihood, np.log(40)) and (by[70].n_words, by[70].log_likelihood) == (0, 0)
+    assert len({round(r.log_likelihood, 9) for r in got if 100 <= (r.doc_id or 0)}) == 1 and len({round(r.log_likelihood, 9) for r in got if r.doc_id == 80}) == 2
+
+
 def test_every_word_is_a_target():
     for n in (0, 1, 7, 1000):
         assert sorted(np.concatenate([pseudo_likelihood.places(turn, n) for turn in range(pseudo_likelihood.ROUNDS)])) == list(range(n))

@@ -2,7 +2,8 @@
 
 A small network predicts each word from the words on both sides, SIDE on each: embeddings by place are summed, squashed and
 mapped to a softmax over the vocabulary, which has the most frequent words of the whole corpus and hash classes for all
-others. Word counts are summed over all documents. Training runs on every partition at once: each takes minibatch steps
+others. Word counts are summed over all documents and stay a distributed table: a word of a hash class has the probability of
+its class, by the network, times its share of the class's occurrences, of which unknown words have a part. Training runs on every partition at once: each takes minibatch steps
 from the common weights over its own documents (a round has one in ROUNDS places of every document as targets, so that after
 all of them each place has been one), and the weights are averaged by the number of targets, in two levels, so the driver gets a bounded number of them. A document's
 score is the sum of the conditional log-probabilities of all its words, and their mean. Null and empty texts score 0.
@@ -18,11 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import FLUSH, PACKED, PACKED_SQL, bucket_of, buckets, by_bucket, dealt, joined, packed_rows, record_batches, texts
-from .words import Words, chunks
+from .shared import FLUSH, PACKED, PACKED_SQL, bucket_of, buckets, by_bucket, dealt, joined, packed_rows, record_batches, scratch, texts, written
+from .words import Words, chunks, mix
 
 FREQUENT, CLASSES, SIDE, WIDTH, ROUNDS, BATCH, RATE, GROUPS, SEED = 127, 128, 2, 12, 2, 2048, 0.15, 32, 5
 PAD = FREQUENT + CLASSES
+COUNT, WORD, PART, DOCUMENT = 1, 2, 3, 4
 SIZE = PAD + 1
 
 
@@ -45,25 +47,60 @@ def count_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
         yield from flush()
 
 
-def frequent_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of the FREQUENT most frequent words, ascending, counted over all documents."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """Packed rows of kind COUNT: hashes of all words, ascending, and how often they occur in all documents."""
     n = buckets(docs.sparkSession)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for bucket, own in by_bucket(batches):
+                value, at = np.unique(joined(own, 2, np.uint64), return_inverse=True)
+                count = np.bincount(at, joined(own, 3, np.int64)).astype(np.int64)
+                yield bucket, COUNT, value.tobytes(), count.tobytes(), b"", b""
+
+        return record_batches(rows(), PACKED)
+
+    packed = texts(docs).mapInArrow(lambda it: record_batches(count_rows(it, n), PACKED), PACKED_SQL)
+    return written(dealt(packed).mapInArrow(total, PACKED_SQL), scratch(docs.sparkSession, "words"))
+
+
+def frequent_words(counts: DataFrame) -> np.ndarray:
+    """Hashes of the FREQUENT most frequent words, ascending."""
+
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
-            value, at = np.unique(joined(rows, 2, np.uint64), return_inverse=True)
-            count = np.bincount(at, joined(rows, 3, np.int64)).astype(np.int64)
+            value, count = joined(rows, 2, np.uint64), joined(rows, 3, np.int64)
             top = np.lexsort((value, -count))[:FREQUENT]
             yield pa.record_batch([pa.array(value[top].view(np.int64)), pa.array(count[top])], ["h", "n"])
 
-    packed = texts(docs).mapInArrow(lambda it: record_batches(count_rows(it, n), PACKED), PACKED_SQL)
-    rows = dealt(packed).mapInArrow(total, "h long, n long").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    rows = counts.mapInArrow(most, "h long, n long").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
     return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
 
 
+def class_of(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(40)) % np.uint64(CLASSES)).astype(np.int64)
+
+
+def class_masses(counts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each hash class, the occurrences of its words and the mass of unknown words: as many as occur once, 1 at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_bucket(batches):
+            value, count = joined(rows, 2, np.uint64), joined(rows, 3, np.int64)
+            rare = ~np.isin(value, vocabulary)
+            c, n = class_of(value[rare]), count[rare]
+            all_, once = (np.bincount(c, w, CLASSES).astype(np.int64) for w in (n, n == 1))
+            yield pa.record_batch([pa.array(np.arange(CLASSES)), pa.array(all_), pa.array(once)], ["c", "n", "once"])
+
+    total, unknown = np.zeros(CLASSES), np.ones(CLASSES)
+    for r in counts.mapInArrow(run, "c long, n long, once long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect():
+        total[r.c], unknown[r.c] = r.n, max(1, r.once)
+    return total, unknown
+
+
 def ids_of(w: Words, vocabulary: np.ndarray) -> np.ndarray:
     h = w.hashes()
-    out = (FREQUENT + (h >> np.uint64(40)) % np.uint64(CLASSES)).astype(np.int32)
+    out = (FREQUENT + class_of(h)).astype(np.int32)
     if len(vocabulary) and len(h):
         at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
         known = vocabulary[at] == h
@@ -177,23 +214,86 @@ def train(docs: DataFrame, vocabulary: np.ndarray) -> bytes:
     return weights
 
 
+def within_classes(batches: Iterator[pa.RecordBatch], n: int, total: np.ndarray, unknown: np.ndarray) -> Iterator[tuple]:
+    """Log-probabilities of words within their hash classes, summed for each document; rows of documents pass through."""
+    value, count, now, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), None, [], 0
+
+    def flush() -> Iterator[tuple]:
+        key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        part = np.bincount(at, np.concatenate([p for _, p in held]))
+        for k, (x, y) in packed_rows(bucket_of(key, n), key, part):
+            yield k, PART, x, y, b"", b""
+
+    for b in batches:
+        for bucket, kind, x, y, z, w in zip(*(b.column(c).to_pylist() for c in PACKED.names), strict=True):
+            if kind == DOCUMENT:
+                yield bucket, kind, x, y, z, w
+                continue
+            if bucket != now:
+                now, value, count = bucket, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            h = np.frombuffer(x, np.uint64)
+            if kind == COUNT:
+                value, count = h, np.frombuffer(y, np.int64)
+                continue
+            c, mass = class_of(h), unknown[class_of(h)]
+            if len(value):
+                at = np.minimum(np.searchsorted(value, h), len(value) - 1)
+                mass = np.where(value[at] == h, count[at], mass)
+            doc, at = np.unique(np.frombuffer(y, np.int32), return_inverse=True)
+            held.append((np.frombuffer(z, np.uint64)[doc], np.bincount(at, np.log(mass / (total + unknown)[c]))))
+            size += len(doc)
+            if size >= FLUSH:
+                yield from flush()
+                held, size = [], 0
+    if size:
+        yield from flush()
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents with what lies within classes added; rows that share a key are equal and share the sum."""
+    for _, rows in by_bucket(batches):
+        parts, own = ([r for r in rows if r[1] == kind] for kind in (PART, DOCUMENT))
+        if own:
+            key, at, times = np.unique(joined(own, 2, np.uint64), return_inverse=True, return_counts=True)
+            more, k = np.zeros(len(key)), joined(parts, 2, np.uint64)
+            np.add.at(more, np.searchsorted(key, k), joined(parts, 3, np.float64))
+            n, s = joined(own, 4, np.int64), joined(own, 5, np.float64) + (more / times)[at]
+            words = n >> 1
+            ids = pa.array(joined(own, 3, np.int64), pa.int64(), mask=n % 2 == 1)
+            yield pa.record_batch([ids, pa.array(words), pa.array(s), pa.array(s / np.maximum(1, words))], ["doc_id", "n_words", "log_likelihood", "mean_log_probability"])
+
+
 def score(docs: DataFrame, block: int = 16_384) -> DataFrame:
     """doc_id, n_words, log_likelihood (sum) and mean_log_probability of every document, by a model trained on all of them."""
-    vocabulary = frequent_words(docs)
+    n = buckets(docs.sparkSession)
+    counts = word_counts(docs)
+    vocabulary = frequent_words(counts)
+    total, unknown = class_masses(counts, vocabulary)
     weights = train(docs, vocabulary)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         net = Network(weights)
         for b in batches:
-            counts, sums = [], []
+            null, done = b.column("doc_id").is_null().to_numpy(zero_copy_only=False).astype(np.int64), 0
             for w in chunks(b, lower=True):
-                t = ids_of(w, vocabulary)
+                h, t, m = w.hashes(), ids_of(w, vocabulary), len(w.ids)
                 parts = [net.log_probability(contexts(t, w.first, at := np.arange(i, min(len(t), i + block))), t[at]) for i in range(0, len(t), block)]
-                total = np.r_[0, np.cumsum(np.concatenate(parts))] if parts else np.zeros(1)
-                counts.append(w.counts)
-                sums.append(total[w.first[1:]] - total[w.first[:-1]])
-            if counts:
-                n, s = np.concatenate(counts), np.concatenate(sums)
-                yield pa.record_batch([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(s), pa.array(s / np.maximum(1, n))], ["doc_id", "n_words", "log_likelihood", "mean_log_probability"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_probability double")
+                sums = np.r_[0, np.cumsum(np.concatenate(parts))] if parts else np.zeros(1)
+                doc = w.doc
+                place = (np.arange(len(h)) - w.first[doc]).astype(np.uint64)
+                content = np.r_[np.uint64(0), np.cumsum(mix(h + mix(place + np.uint64(1))))]
+                key = mix(w.ids.astype(np.int64).view(np.uint64) + mix(content[w.first[1:]] - content[w.first[:-1]] + null[done : done + m].astype(np.uint64)))
+                order = np.argsort(key, kind="stable")
+                columns = key, w.ids.astype(np.int64), w.counts.astype(np.int64) << 1 | null[done : done + m], sums[w.first[1:]] - sums[w.first[:-1]]
+                for k, (x, y, z, v) in packed_rows(bucket_of(key[order], n), *(c[order] for c in columns)):
+                    yield k, DOCUMENT, x, y, z, v
+                rare = np.flatnonzero(t >= FREQUENT)
+                rare = rare[np.argsort(h[rare])]
+                for k, (x, y) in packed_rows(bucket_of(h[rare], n), h[rare], doc[rare].astype(np.int32)):
+                    used, at = np.unique(np.frombuffer(y, np.int32), return_inverse=True)
+                    yield k, WORD, x, at.astype(np.int32).tobytes(), key[used].tobytes(), b""
+                done += m
+
+    packed = texts(docs).mapInArrow(lambda it: record_batches(rows(it), PACKED), PACKED_SQL)
+    parts = dealt(counts.unionByName(packed)).mapInArrow(lambda it: record_batches(within_classes(it, n, total, unknown), PACKED), PACKED_SQL)
+    return dealt(parts).mapInArrow(summed, "doc_id long, n_words long, log_likelihood double, mean_log_probability double")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from traceloom import errors
 from traceloom.functions.conditions import drop_err
-from traceloom.functions.xmltypes import is_valid, parse_bool
+from traceloom.functions.xmltypes import in_class, is_valid, matches, parse_bool
 from traceloom.operators.extensions import Concept, Org
 from traceloom.plans import catalogue, plugins
 from traceloom.plans.channels import ChannelNames
@@ -65,6 +66,9 @@ def test_train_and_test(spark, executor):
     got = graph.execute(spark, executor)
     counts = {n: got[n].counts() for n in ("raw", "sample", "train", "test")}
     assert [a + b for a, b in zip(counts["train"], counts["test"], strict=True)] == counts["sample"]
+    stages = dict(graph.stages)
+    assert [n for n, _ in stages["Train"]] == ["TableReader", "Repair", "Statistics", "Sample", "Statistics", "Split", "Statistics"] and [len(a) for _, a in stages["Train"]] == [0, 0, 1, 0, 1, 0, 1]
+    assert graph.timings["Test"].keys() == {"acquisition", "execution", "emission"} and spark.sparkContext._jsc.getPersistentRDDs().size() == 0
     assert counts["raw"][0] == 1500 and graph.generation == 1 and not graph.pipes and len(got["__PIPES_GEN_0__"]) == 2
 
 
@@ -76,6 +80,23 @@ def test_flow_over_files(spark, tmp_path):
     g.sink(Segment("XesWriter").attribute("path", str(tmp_path / "b.xes"))).source("c", Segment("Receiver").acquire_stream("copy")).stream(Segment("Statistics").emit_artifact("n"))
     n = g.execute(spark)["n"].counts()
     assert tuple(read_xes(spark, str(tmp_path / "b.xes")).statistics().first())[:3] == tuple(n)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+@needs_data
+def test_counts_are_taken_in_passing(spark, tmp_path):
+    """One pipe reads each of its tables once, whatever statistics it leaves; empty logs have counts too."""
+    graph = catalogue.train_test_flow(SF)
+    before = spark.sparkContext._jsc.sc().statusTracker().getJobIdsForGroup(None)
+    got = graph.execute(spark)
+    after = spark.sparkContext._jsc.sc().statusTracker().getJobIdsForGroup(None)
+    # Two tables' schemas, and two tables for each pipe.
+    assert len(after) - len(before) == 6 and got["raw"].to_json()["artifact"]["ct_event"] == got["raw"].total
+    none = spark.read.parquet(f"{SF}/orders.parquet").limit(0)
+    (tmp_path / "t").mkdir()
+    none.write.parquet(str(tmp_path / "t/orders.parquet"))
+    spark.read.parquet(f"{SF}/lineitem.parquet").limit(0).write.parquet(str(tmp_path / "t/lineitem.parquet"))
+    assert catalogue.train_test_flow(str(tmp_path / "t")).execute(spark)["test"].counts() == [0, 0, 0]
 
 
 def test_channels():
@@ -117,13 +138,27 @@ def test_plugin_binding(spark):
 
 
 @pytest.mark.parametrize("kind, good, bad", [
-    ("token", ["", "a", "a b"], [" a", "a ", "a  b", "a\tb"]), ("Name", ["a", ":a", "_x-1.2", "é"], ["", "1a", "a b", "-a"]),
-    ("NCName", ["a", "_x-1"], ["", "a:b", "1a", "a b"]), ("anyURI", ["http://x", "see a:b"], ["", "abc", "1:"]),
+    ("token", ["", "a", "a b", "a\u00a0b", "a\x1cb"], [" a", "a ", "a  b", "a\tb"]), ("Name", ["a", ":a", "_x-1.2", "é"], ["", "1a", "a b", "-a"]),
+    ("NCName", ["a", "_x-1", "é中", "a\u0301"], ["", "a:b", "1a", "a b", "a\u00aa", "\u0301a", "a\uff21"]), ("anyURI", ["http://x", "see a:b"], ["", "abc", "1:"]),
 ])
 def test_xml_strings(kind, good, bad):
     assert all(is_valid(kind, x) for x in good) and not any(is_valid(kind, x) for x in bad)
 
 
+@pytest.mark.parametrize("name, inside, outside", [
+    ("BaseChar", "Aéא가", "1中·_"), ("Ideographic", "中〇", "aあ"), ("CombiningChar", "\u0301\u05b0", "a"), ("Digit", "07٣", "a²"), ("Extender", "·々ー", "-a"), ("Letter", "a中", "1·"),
+])
+def test_letter_classes(name, inside, outside):
+    assert all(in_class(name, x) for x in inside) and not any(in_class(name, x) for x in outside)
+
+
+def test_string_types_are_the_same_in_columns(spark):
+    given = ["", "a", "a b", " a", "a\u00a0b", "a\x1cb", "a:b", "é中", "a\u00aa", "1", "_"]
+    df = spark.createDataFrame([(x,) for x in given], "v string")
+    for kind in ("token", "Name", "NCName", "anyURI"):
+        assert [r[1] for r in df.select("v", matches(kind, F.col("v"))).collect()] == [is_valid(kind, x) for x in given], kind
+
+
 def test_parse_bool():
     assert parse_bool("1") and not parse_bool("false")
     with pytest.raises(errors.ParseBooleanError):

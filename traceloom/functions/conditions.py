@@ -120,8 +120,7 @@ def drop_err(condition: Condition) -> Condition:
 
     def run(scope: ScopeView) -> Outcome:
         own = condition(scope)
-        # A value that is null or false whenever there is an error needs no test of the error.
-        return Outcome(own.value if getattr(condition, "null_on_error", False) else own.value & own.message.isNull())
+        return Outcome(own.value & own.message.isNull())
 
     return run
 

@@ -1,8 +1,14 @@
-"""XML string types as patterns, for the driver (Python) and for columns (Java); both read the same text."""
+"""XML string types as patterns, for the driver (Python) and for columns (Java); both read the same text.
+
+An NCName is that of 1999, over the character classes of appendix B of XML 1.0. These are built by the rule that the appendix
+itself states, from categories and decompositions of the oldest Unicode data that Python has (3.2) inside the blocks of Unicode 2;
+so some letters that were added to those blocks between the two versions count too.
+"""
 
 from __future__ import annotations
 
 import re
+from unicodedata import ucd_3_2_0 as old
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,12 +18,65 @@ from ..errors import ParseBooleanError, ValidationError
 # Name start characters and further name characters of XML 1.0 (fifth edition) in the basic plane.
 NAME_START = r":A-Z_a-zÀ-ÖØ-öø-˿Ͱ-ͽͿ-῿‌-‍⁰-↏Ⰰ-⿯、-퟿豈-﷏ﷰ-�"
 NAME_MORE = r"\-.0-9·̀-ͯ‿-⁀"
-TOKEN = r"(?:[^\s]+(?: [^\s]+)*)?"
+TOKEN = r"(?:[^ \t\n\r]+(?: [^ \t\n\r]+)*)?"
 NAME = f"[{NAME_START}][{NAME_START}{NAME_MORE}]*"
-NCNAME = f"[{NAME_START[1:]}][{NAME_START[1:]}{NAME_MORE}]*"
+
+# Fixed values of the appendix: blocks of its time (as first and last letter), what counts as a start of names although its category
+# says otherwise, what is left out, and the extenders.
+BLOCKS = [(0x41, 0x233), (0x250, 0x2E9), (0x300, 0x3FF), (0x401, 0x4F9), (0x531, 0x587), (0x591, 0x5F4), (0x60C, 0x6F9), (0x901, 0xDFF), (0xE01, 0xFBC), (0x10A0, 0x10FB), (0x1100, 0x11F9), (0x1E00, 0x1FFC), (0x20D0, 0x20E1), (0x2126, 0x2182), (0x3005, 0x312C), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+ALSO_START = {*range(0x2BB, 0x2C2), 0x559, 0x6E5, 0x6E6}
+LEFT_OUT = {*range(0x20DD, 0x20E1)}
+EXTENDERS = [0xB7, 0x2D0, 0x2D1, 0x387, 0x640, 0xE46, 0xEC6, 0x3005, *range(0x3031, 0x3036), 0x309D, 0x309E, *range(0x30FC, 0x30FF)]
+IDEOGRAPHS = [0x3007, *range(0x3021, 0x302A), *range(0x4E00, 0x9FA6)]
+
+
+def _ranges(points: list[int]) -> str:
+    """Inside of a bracket expression for some characters."""
+    out: list[list[int]] = []
+    for p in sorted(set(points)):
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+def _classes() -> dict[str, str]:
+    of: dict[str, list[int]] = {"BaseChar": [], "CombiningChar": [], "Digit": []}
+    special = {*EXTENDERS, *IDEOGRAPHS}
+    for a, b in BLOCKS:
+        for p in range(a, b + 1):
+            kind = old.category(chr(p))
+            if p in special or p in LEFT_OUT or old.decomposition(chr(p)).startswith("<"):
+                continue
+            if kind in ("Ll", "Lu", "Lo", "Lt", "Nl") or p in ALSO_START:
+                of["BaseChar"].append(p)
+            elif kind in ("Mc", "Me", "Mn"):
+                of["CombiningChar"].append(p)
+            elif kind == "Nd":
+                of["Digit"].append(p)
+    of["Digit"] += range(0x30, 0x3A)
+    out = {k: _ranges(v) for k, v in of.items()} | {"Extender": _ranges(EXTENDERS), "Ideographic": _ranges(IDEOGRAPHS)}
+    return out | {"Letter": out["BaseChar"] + out["Ideographic"]}
+
+
+#: BaseChar, Ideographic, CombiningChar, Digit, Extender and Letter as insides of bracket expressions.
+CLASSES = _classes()
+NCNAME = "[{Letter}_][{Letter}{Digit}{CombiningChar}{Extender}._\\-]*".format(**CLASSES)
 URI = r"[A-Za-z][A-Za-z0-9+.\-]*:"
 _PYTHON = {k: re.compile(v) for k, v in (("token", TOKEN), ("Name", NAME), ("NCName", NCNAME))}
 _URI = re.compile(URI)
+_CLASS = {k: re.compile(f"[{v}]") for k, v in CLASSES.items()}
+
+
+def in_class(name: str, letter: str) -> bool:
+    """Whether one character is in a class of CLASSES."""
+    return _CLASS[name].fullmatch(letter) is not None
+
+
+def letters_in(name: str, text: Column) -> Column:
+    """How many characters of a text are in a class of CLASSES."""
+    return F.regexp_count(text, F.lit(f"[{CLASSES[name]}]"))
 
 
 def is_valid(kind: str, text: str) -> bool:

@@ -2,7 +2,7 @@
 
 A Handler gives column expressions: what it returns for meta data, traces and events is chained over all handlers, all trace
 steps before any event step. by_component runs Python functions for what columns can't express, a batch of components at a
-time. in_order numbers all events for handlers whose state follows the whole log; that order is total, so it is one task's work.
+time. in_order numbers all events for handlers whose state follows the whole log.
 """
 
 from __future__ import annotations
@@ -101,7 +101,20 @@ def by_component(log: NestedLog, f: Callable[[pd.DataFrame], pd.DataFrame]) -> N
 
 
 def in_order(log: NestedLog) -> DataFrame:
-    """All events with n, their number in the log's order from 0, place in their component, and seq."""
+    """All events with n, their number in the log's order from 0, place in their component, and seq.
+
+    Components fall into ranges of seq of about equal size, whose events are counted; the ranges' sums (one row for each) give
+    each range its first number, and events are numbered inside their range, so no task sees all of them.
+    """
+    n = int(log.components.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(log.components.approxQuantile("seq", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c < F.col("seq"))) if cuts else F.lit(0)
+    size = F.when(F.col("kind") == "trace", F.size("events")).otherwise(1)
+    sums = log.components.groupBy(part.alias("part_of")).agg(F.sum(size).alias("size"))
+    base = sums.select("part_of", (F.sum("size").over(Window.orderBy("part_of")) - F.col("size")).alias("base"))
     inside = log.components.where("kind = 'trace'").select("seq", F.posexplode("events").alias("place", "e")).select("seq", "place", F.col("e.attributes").alias("attributes"))
     alone = log.components.where("kind = 'event'").select("seq", F.lit(0).alias("place"), "attributes")
-    return inside.unionByName(alone).withColumn("n", F.row_number().over(Window.orderBy("seq", "place")) - 1)
+    rows = inside.unionByName(alone).withColumn("part", part)
+    # base has a row for each shuffle partition.
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("seq", "place")) - 1).join(F.broadcast(base), F.col("part") == F.col("part_of"))
+    return rows.select("seq", "place", "attributes", (F.col("base") + F.col("k")).alias("n"))

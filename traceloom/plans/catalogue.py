@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions.coin import coin_sql
 from ..functions.conditions import drop_err, neg
-from ..functions.xmltypes import NAME, NCNAME, TOKEN, boolean, matches
-from ..model import Attribute, Global, Meta, Scope
-from ..operators.eventlog import order_violations
+from ..functions.xmltypes import CLASSES, NAME, NCNAME, TOKEN, URI, boolean, letters_in, matches
+from ..model import Attribute, Classifier, Global, Meta, Scope
+from ..operators.eventlog import FlatLog, classifier_column, order_violations
 from ..operators.extensions import Concept, Interval, Org, Time, attribute
-from ..sources.tables import conversations_log, events_log, orders_log
-from ..sources.xes import read_xes, write_xes
-from .flow import FlowGraph, Segment
+from ..operators.handlers import Filter as Clauses
+from ..operators.handlers import Handler, in_order, observe_with
+from ..sources.tables import conversations_log, events_log, from_table, orders_log
+from ..sources.xes import read_xes, write_folder
+from .flow import FlowGraph, Segment, ThreadExecutor
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,8 +87,9 @@ _events("q06_concept_in", [[C.filter_in(N, ["view", "click"])]], "event_type IN
 _events("q07_concept_match", [[C.filter_match(N, "^[cv]|er")]], "regexp_matches(event_type, '^[cv]|er')")
 _events("q08_concept_instance", [[C.filter_eq(I, "42")]], "event_id::VARCHAR = '42'")
 _events("q09_neg", [[neg(C.filter_eq(N, "click"))]], "event_type <> 'click'")
-CNF2 = [[C.filter_in(N, ["view", "click"]), C.filter_eq(N, "purchase")], [C.filter_eq(N, "purchase"), C.filter_eq(N, "click"), C.filter_in(N, ["error", "login"])]]
-CNF2_SQL = "(event_type IN ('view', 'click') OR event_type = 'purchase') AND (event_type = 'purchase' OR event_type = 'click' OR event_type IN ('error', 'login'))"
+#: No log-ins, and of errors those with an odd number alone.
+CNF2 = [[neg(C.filter_eq(N, "login"))], [C.filter_match(I, "[13579]$"), neg(C.filter_match(N, "^err"))]]
+CNF2_SQL = "event_type <> 'login' AND (regexp_matches(event_id::VARCHAR, '[13579]$') OR NOT regexp_matches(event_type, '^err'))"
 
 
 @_query("q10_cnf_events", f"SELECT user_id, coalesce(string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) FILTER (WHERE {CNF2_SQL}), '') AS sequence FROM events GROUP BY user_id")
@@ -131,10 +135,10 @@ _items("q18_org_match", [[O.filter_match(O.RESOURCE_KEY, "^1\\d$"), neg(O.filter
 def q19(spark: SparkSession, sf: str) -> DataFrame:
     log = events_log(spark, sf)
     us = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("first_", "last_")]
-    return log.with_ends(log.trace_rows()).select("user_id", us[0].alias("start_us"), us[1].alias("end_us"), F.col("n_events_").alias("n_events"))
+    return log.with_ends().select("user_id", us[0].alias("start_us"), us[1].alias("end_us"), F.col("n_events_").alias("n_events"))
 
 
-_events("q20_time_eq_event", [[neg(Time.filter_eq(Interval.at(E1))), Time.filter_eq(Interval.at(E1))]], "true")
+_items("q20_time_eq_event", [[Time.filter_eq(Interval.at(O1)), Time.filter_eq(Interval.at(O2))]], f"l_shipdate = TIMESTAMP '{O1}' OR l_shipdate = TIMESTAMP '{O2}'")
 _events("q21_time_eq_tol_event", [[Time.filter_eq_tol(Interval.at(E1), timedelta(hours=1))]], f"abs(epoch_us(ts) - epoch_us(TIMESTAMP '{E1}')) <= 3600000000::BIGINT")
 _events("q22_time_before_event", [[Time.filter_before(Interval(E1, E2))]], f"ts < TIMESTAMP '{E1}'")
 _events("q23_time_after_event", [[Time.filter_after(Interval(E1, E2))]], f"ts > TIMESTAMP '{E2}'")
@@ -166,8 +170,7 @@ def checked_meta() -> Meta:
 
 @_query("q34_validate_ok", "SELECT event_id, user_id, event_type FROM events")
 def q34(spark: SparkSession, sf: str) -> DataFrame:
-    log = events_log(spark, sf)
-    log.meta = checked_meta()
+    log = replace(events_log(spark, sf), order=["event_id"], meta=checked_meta())
     return log.validate().events.select(*EV)
 
 
@@ -215,9 +218,15 @@ def q41(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@_query("q42_attr_children", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+@_query("q42_attr_children", "SELECT event_id, json_extract_string(props, '$.k') AS k, 'web' AS origin, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 1 ELSE 2 END::INTEGER AS n FROM events")
 def q42(spark: SparkSession, sf: str) -> DataFrame:
-    return events_log(spark, sf).events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    """Attributes inside attributes: k of the table, and one that is set afterwards."""
+    df = spark.read.parquet(f"{sf}/events.parquet")
+    df = df.withColumns({"k": F.get_json_object("props", "$.k"), "instance": df.event_id.cast("string")})
+    log = from_table(df, None, ["ts", "event_id"], {N: ("string", "event_type"), I: ("string", "instance")}).inside(N, {"k": ("string", "k")}).nested()
+    a = F.col("attributes")
+    changed = log.with_child(N, Attribute("origin", "app")).with_child(N, Attribute("origin", "web"))
+    return changed.components.select(log.value_or(a, I, "string").cast("long").alias("event_id"), log.child(a, N, "k").alias("k"), log.child(a, N, "origin").alias("origin"), F.size(log.children_or(a, N)).alias("n"))
 
 
 @_query("q43_attr_types", "SELECT 'concept:name' AS key, 'string' AS type, count(event_type)::BIGINT AS n FROM events UNION ALL SELECT 'concept:instance', 'string', count(event_id)::BIGINT FROM events UNION ALL SELECT 'time:timestamp', 'date', count(ts)::BIGINT FROM events UNION ALL SELECT 'value', 'float', count(value)::BIGINT FROM events")
@@ -266,10 +275,102 @@ def q47(spark: SparkSession, sf: str) -> DataFrame:
 
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
     path = f"{base.rstrip('/')}/xes-{uuid.uuid4().hex}.xes"
-    write_xes(conversations_log(spark, sf).nested(), path, 1)
+    write_folder(conversations_log(spark, sf).nested(), path, 1)
     return read_xes(spark, path).statistics()
 
 
+BY_LINE = "l_linenumber, l_partkey, l_suppkey, l_shipdate"
+
+
+@_query("q48_validate_order", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'ValidationError: children of trace are not chronological' AS error FROM (SELECT *, lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY {BY_LINE}) AS b FROM lineitem) WHERE b > l_shipdate")
+def q48(spark: SparkSession, sf: str) -> DataFrame:
+    log = replace(orders_log(spark, sf), order=BY_LINE.split(", "), meta=Meta([Time.declare()]))
+    return log.violations().select(*LI, "error")
+
+
+def partly_outside(spark: SparkSession, sf: str) -> FlatLog:
+    """Users by name as cases; errors belong to no case."""
+    log = events_log(spark, sf)
+    case = F.when(F.col("event_type") != "error", F.concat(F.lit("user "), F.col("user_id").cast("string")))
+    return replace(log, events=log.events.withColumn("user", case), case="user", meta=Meta([Concept.declare(), Time.declare()]))
+
+
+@_query("q49_events_outside", "SELECT count(DISTINCT user_id) FILTER (WHERE event_type <> 'error')::BIGINT AS traces, count(*) FILTER (WHERE event_type <> 'error')::BIGINT AS in_trace, count(*)::BIGINT AS total, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS standalone FROM events")
+def q49(spark: SparkSession, sf: str) -> DataFrame:
+    return partly_outside(spark, sf).validate().nested().statistics()
+
+
+_orders("q50_time_eq_tol_trace", Time.filter_eq_tol(Interval(O1, O1), timedelta(days=60)), f"abs(epoch_us(s) - epoch_us(TIMESTAMP '{O1}')) <= 5184000000000 AND abs(epoch_us(e) - epoch_us(TIMESTAMP '{O1}')) <= 5184000000000")
+
+
+@_query("q51_duration", f"SELECT o_orderkey, epoch_us(e) - epoch_us(s) AS duration_us FROM orders LEFT JOIN ({SPANS}) x ON o_orderkey = k")
+def q51(spark: SparkSession, sf: str) -> DataFrame:
+    return orders_log(spark, sf).durations()
+
+
+@_query("q52_org_validator", "SELECT 'ValidationError: org:resource is no string' AS error, count(*)::BIGINT AS n FROM lineitem")
+def q52(spark: SparkSession, sf: str) -> DataFrame:
+    log = orders_log(spark, sf)
+    log = replace(log, event_map=log.event_map | {O.RESOURCE_KEY: ("int", "l_suppkey")}, meta=Meta([Org.declare()]))
+    return log.violations().groupBy("error").agg(F.count("*").alias("n"))
+
+
+class _Shout(Handler):
+    """Roles in capitals."""
+
+    def on_event(self, attributes, in_trace):
+        name = F.element_at(attributes, N)
+        return None, F.map_concat(F.map_filter(attributes, lambda k, v: k != N), F.create_map(F.lit(N), name.withField("s", F.upper(name["s"]))))
+
+
+@_query("q53_handlers", "SELECT conv_id AS seq, '[' || coalesce(string_agg(upper(substr(role, 1, 1)), '' ORDER BY turn) FILTER (WHERE role <> 'system'), '') || ']' AS sequence FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'system') = 0 OR min(turn) FILTER (WHERE role = 'system') = min(turn)")
+def q53(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations whose system events, if any, come first, without these; then all in capitals."""
+
+    class NoLateSystem(Handler):
+        def on_trace(self, attributes, events):
+            names = F.transform(events, lambda e: F.element_at(e["attributes"], N)["s"])
+            return F.coalesce(F.array_position(names, "system"), F.lit(0)) <= 1, None
+
+    own = observe_with(conversations_log(spark, sf).nested(), [NoLateSystem(), Clauses(events=[[neg(C.filter_eq(N, "system"))]]), _Shout()])
+    return own.sequences(lambda a: F.substring(F.element_at(a, N)["s"], 1, 1))
+
+
+@_query("q54_every_second_event", "SELECT conv_id AS seq, n FROM (SELECT conv_id, row_number() OVER (ORDER BY conv_id, turn) - 1 AS n FROM conversations) WHERE n % 2 = 0")
+def q54(spark: SparkSession, sf: str) -> DataFrame:
+    return in_order(conversations_log(spark, sf).nested()).where("n % 2 = 0").select("seq", F.col("n").cast("long").alias("n"))
+
+
+@_query("q55_flow_json_threads", _flow_sql())
+def q55(spark: SparkSession, sf: str) -> DataFrame:
+    """As q45, from JSON and with a thread for each pipe."""
+    artifacts = FlowGraph.from_json(train_test_flow(sf).close().to_json()).execute(spark, ThreadExecutor())
+    return spark.createDataFrame([(n, *artifacts[n].counts()) for n in ("raw", "sample", "train", "test")], "name string, traces long, in_trace long, total long")
+
+
+@_query("q56_repair", "SELECT event_id, 'EventName' AS name, event_type || '+' || event_id::VARCHAR AS value FROM events")
+def q56(spark: SparkSession, sf: str) -> DataFrame:
+    log = replace(events_log(spark, sf), meta=Meta(classifiers=[Classifier("Event Name", Scope.EVENT, f"{N} {I}")])).repair().validate()
+    own = log.meta.classifiers[0]
+    return log.events.select("event_id", F.lit(own.name).alias("name"), classifier_column(log, own.keys).alias("value"))
+
+
+@_query("q57_anyuri", f"SELECT url AS v, regexp_matches(url, '{URI}') AS is_uri FROM pages UNION ALL SELECT props, regexp_matches(props, '{URI}') FROM events")
+def q57(spark: SparkSession, sf: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("url").alias("v")).unionAll(spark.read.parquet(f"{sf}/events.parquet").select("props"))
+    return v.select("v", matches("anyURI", F.col("v")).alias("is_uri"))
+
+
+def _letters_sql() -> str:
+    return ", ".join(f"length(regexp_replace(coalesce(text, ''), '[^{CLASSES[k]}]', '', 'g'))::INTEGER AS {k.lower()}" for k in CLASSES)
+
+
+@_query("q58_letter_classes", f"SELECT doc_id, {_letters_sql()} FROM documents")
+def q58(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", *[letters_in(k, text).alias(k.lower()) for k in CLASSES])
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Case and sequence of the events that are views or clicks inside a time span."""
     cnf = [[Concept.filter_in(N, ["view", "click"])], [drop_err(Time.filter_in(Interval(E1, E2)))]]

@@ -1,7 +1,8 @@
 """Flow graphs: pipes of named segments, given by a builder, JSON or YAML, planned in dependency order and run by Spark.
 
-A pipe is a chain of DataFrames; a stream sent by one pipe and received by another is the same (persisted) table. Each pipe
-is one consumption by its sink; statistics are actions of their own after it. Mistakes are found before anything runs.
+A pipe is a chain of DataFrames; a stream sent by one pipe and received by another is the same table, persisted if it is more
+than a scan. Each pipe is one consumption by its sink; a sink that reads everything gives the statistics of all stages in
+passing. Mistakes are found before anything runs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import SparkSession
 
 from ..errors import ArtifactError, ChannelError, FlowError, StreamError, mapped
 from ..model import Attribute
+from ..operators.eventlog import worth_holding
 from . import plugins
 from .channels import ChannelNames
 
@@ -150,6 +152,9 @@ class FlowGraph:
     def __init__(self, pipes: list[Pipe] | None = None, generation: int = 0, artifacts: dict[str, Any] | None = None):
         self.pipes, self.generation, self.artifacts = pipes or [], generation, artifacts or {}
         self.staging: Pipe | None = None
+        #: Of the last run: for each pipe its stages' names and artifacts, the source first, and seconds of its phases.
+        self.stages: dict[str, list[tuple[str, list]]] = {}
+        self.timings: dict[str, dict[str, float]] = {}
 
     def source(self, name: str, segment: Segment) -> FlowGraph:
         self.close()
@@ -240,6 +245,7 @@ class FlowGraph:
         finally:
             for df in state.held:
                 df.unpersist()
+            self.stages, self.timings = state.stages, state.timings
         self.artifacts = state.artifacts | {f"__PIPES_GEN_{self.generation}__": [p.to_dict() for p in self.pipes]}
         self.generation, self.pipes = self.generation + 1, []
         return self.artifacts
@@ -248,48 +254,53 @@ class FlowGraph:
 class _Run:
     def __init__(self, spark: SparkSession, artifacts: dict[str, Any]):
         self.spark, self.artifacts, self.streams, self.held = spark, artifacts, {}, []
+        self.stages: dict[str, list[tuple[str, list]]] = {}
+        self.timings: dict[str, dict[str, float]] = {}
 
     def _inputs(self, s: Segment) -> list:
         return [self.artifacts[n] for n in s.artifact_receiver]
 
     def pipe(self, pipe: Pipe) -> None:
-        stream, late = None, []
+        sink = pipe.sink or Segment("VoidSink")
+        (last, target), acquired = timeit(lambda: (self._stages(pipe, sink), self._build(sink, "sink", {k: a.value for k, a in sink.attributes.items()}, [], sink.stream_sender)))
+        _, executed = timeit(lambda: target(last.log))
+        made, emitted = timeit(last.emit_artifacts)
+        self.timings[pipe.name] = {"acquisition": acquired, "execution": executed, "emission": emitted}
+        log.debug("pipe %s: %s", pipe.name, self.timings[pipe.name])
+        self.stages[pipe.name] = [(stage.name, own) for stage, own in zip(last.lineage(), made, strict=True)]
+        for s, own in zip([pipe.source, *pipe.streams], made, strict=True):
+            if len(own) < len(s.artifact_sender):
+                raise ArtifactError(f"{s.name} leaves {len(own)} artifacts, not {len(s.artifact_sender)}")
+            # Names bind in alphabetical order.
+            self.artifacts |= dict(zip(sorted(s.artifact_sender), own, strict=False))
+
+    def _stages(self, pipe: Pipe, sink: Segment) -> plugins.Built:
+        """The chain of the pipe's stages; what it sends is known afterwards."""
+        inner = None
         for s in [pipe.source, *pipe.streams]:
-            given = ([] if s is pipe.source else [stream]) + [self.streams[n] for n in s.stream_receiver]
-            attributes = {k: a.value for k, a in s.attributes.items()}
-            built = self._build(s, "stream", attributes, given, s.stream_sender)
+            given = ([] if inner is None else [inner.log]) + [self.streams[n] for n in s.stream_receiver]
+            built = self._build(s, "stream", {k: a.value for k, a in s.attributes.items()}, given, s.stream_sender, sink.name == "VoidSink")
             if len(built.sent) < len(s.stream_sender):
                 raise FlowError(f"{s.name} sends {len(built.sent)} streams, not {len(s.stream_sender)}")
             if s.stream_sender:
                 self._hold(given)
             for n, own in zip(s.stream_sender, built.sent, strict=False):
                 self.streams[n] = own
-            stream = built.log
-            late.append((s, built.artifacts))
-        sink = pipe.sink or Segment("VoidSink")
-        target = self._build(sink, "sink", {k: a.value for k, a in sink.attributes.items()}, [], sink.stream_sender)
-        _, seconds = timeit(lambda: target(stream))
-        log.debug("pipe %s consumed in %.3f s", pipe.name, seconds)
-        for s, artifacts in late:
-            if s.artifact_sender:
-                made = artifacts()
-                if len(made) < len(s.artifact_sender):
-                    raise ArtifactError(f"{s.name} leaves {len(made)} artifacts, not {len(s.artifact_sender)}")
-                # Names bind in alphabetical order.
-                self.artifacts |= dict(zip(sorted(s.artifact_sender), made, strict=False))
+            built.name, built.inner, inner = s.name, inner, built
+        return inner
 
     def _hold(self, logs: list) -> None:
-        """What several consumers read is computed once."""
+        """What several consumers read is computed once, unless that is a mere scan; it is released at the end of the run."""
         for own in logs:
             for df in plugins.tables_of(own):
-                if not df.is_cached:
+                if worth_holding(df):
                     self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
 
-    def _build(self, s: Segment, kind: str, attributes: dict, streams: list, senders: list[str]) -> Any:
+    def _build(self, s: Segment, kind: str, attributes: dict, streams: list, senders: list[str], consumed: bool = False) -> Any:
         sinks = [lambda own, n=n: self.streams.__setitem__(n, own) for n in senders]
         if kind == "stream" and s.name in ("Split", "Duplicator") and not sinks:
             sinks = [lambda own: None]
         try:
-            return plugins.build(s.name, kind, lambda d: d.bind(self.spark, attributes, self._inputs(s), streams, sinks))
+            return plugins.build(s.name, kind, lambda d: d.bind(self.spark, attributes, self._inputs(s), streams, sinks, consumed))
         except StreamError as e:
             raise FlowError(str(e)) from e if "no such" in str(e) else StreamError(f"{s.name}: {e}")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from ..errors import StreamError
 from ..model import Meta
@@ -35,6 +35,8 @@ class Parameters:
     artifacts_anon: list = field(default_factory=list)
     streams_anon: list = field(default_factory=list)
     sinks_anon: list = field(default_factory=list)
+    #: Whether the sink at the end reads every table of the log exactly once.
+    consumed: bool = False
 
     def _take(self, what: str, name: str) -> Any:
         own = getattr(self, what)
@@ -70,7 +72,7 @@ class Declaration:
     streams: list[str] = field(default_factory=list)
     sinks: list[str] = field(default_factory=list)
 
-    def bind(self, spark: SparkSession | None = None, attributes: dict | None = None, artifacts: list = (), streams: list = (), sinks: list = ()) -> Parameters:
+    def bind(self, spark: SparkSession | None = None, attributes: dict | None = None, artifacts: list = (), streams: list = (), sinks: list = (), consumed: bool = False) -> Parameters:
         """Attributes: as given, else the default, else an error; more than declared are kept. Others by position; more than declared have no name."""
         given = dict(attributes or {})
         for name in self.attributes:
@@ -78,7 +80,7 @@ class Declaration:
                 if name not in self.defaults:
                     raise StreamError(f"no attribute {name!r}")
                 given[name] = self.defaults[name]()
-        out = Parameters(spark, given)
+        out = Parameters(spark, given, consumed=consumed)
         for what, values in (("artifacts", artifacts), ("streams", streams), ("sinks", sinks)):
             names = getattr(self, what)
             if len(values) < len(names):
@@ -90,11 +92,21 @@ class Declaration:
 
 @dataclass
 class Built:
-    """A stream plugin's result: the log, artifacts known once it has run, and logs sent elsewhere."""
+    """A stream plugin's result: the log, artifacts known once it has run, logs sent elsewhere, and the stage before it."""
 
     log: Log
     artifacts: Callable[[], list] = lambda: []
     sent: list = field(default_factory=list)
+    name: str = ""
+    inner: Built | None = None
+
+    def lineage(self) -> list[Built]:
+        """All stages up to this one, the source first."""
+        return [*(self.inner.lineage() if self.inner is not None else []), self]
+
+    def emit_artifacts(self) -> list[list]:
+        """The artifacts of all stages, one list for each, the source first."""
+        return [stage.artifacts() for stage in self.lineage()]
 
 
 @dataclass
@@ -149,20 +161,32 @@ def _void_sink(p: Parameters) -> Callable[[Log], None]:
 
 
 def tables_of(log: Log) -> list[DataFrame]:
-    if log is None:
-        return []
-    if isinstance(log, NestedLog):
-        return [log.components]
-    return [log.events] + ([log.traces] if log.traces is not None else [])
+    return [] if log is None else log.tables()
 
 
 @plugin("Statistics", streams=["inner"])
 def _statistics(p: Parameters) -> Built:
+    """Counts are taken in passing where the sink reads all there is; otherwise they are an action of their own."""
     log = p.stream("inner")
-
+    if p.consumed and log is not None:
+        own = [Observation(), Observation()]
+        if (seen := log.observed(own)) is not None:
+            used = own[: len(seen.tables())]
+            return Built(seen, lambda: [log.counts_of(own) if done(used) else log.artifact()])
     return Built(log, lambda: [log.artifact()])
 
 
+def done(observations: list[Observation], seconds: float = 10.0) -> bool:
+    """Whether observations have been made; the listener that makes them may lag behind the action, and an optimiser that finds a
+    table empty drops them."""
+    end = time.monotonic() + seconds
+    while not all(o._jo.future().isCompleted() for o in observations):
+        if time.monotonic() > end:
+            return False
+        time.sleep(0.01)
+    return True
+
+
 @plugin("Validator", streams=["inner"])
 def _validator(p: Parameters) -> Built:
     return Built(p.stream("inner").validate())

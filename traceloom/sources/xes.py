@@ -1,7 +1,8 @@
 """XES (IEEE 1849-2016) documents: an incremental parser, a Spark data source 'xes' and a writer.
 
-One file is read by one task, component by component, so memory follows the largest trace. Components of file k are
-numbered from k * 2**40 on. Values are unescaped when read and escaped when written.
+One file is read by one task, component by component, so memory follows the largest trace; a folder is read as its documents in
+order of their names. Components of file k are numbered from k * 2**40 on. Values are unescaped when read and escaped when
+written. A large log is written as a folder of documents, by all executors at once (write_folder).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import uuid
 import warnings
 from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 from typing import IO, Any
@@ -204,15 +206,29 @@ def as_row(seq: int, own: _Trace | _Event) -> tuple:
     return seq, "event", attributes, None
 
 
-def _opened(path: str) -> IO[bytes]:
-    if "://" not in path:
-        return open(path, "rb")
+def _located(path: str) -> tuple[Any, str]:
+    """File system and name of a local path or a URI."""
     from pyarrow import fs
 
-    where, name = fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _opened(path: str) -> IO[bytes]:
+    where, name = _located(path)
     return where.open_input_stream(name)
 
 
+def documents(path: str) -> list[str]:
+    """The documents that a path stands for: itself, or all files of a folder that end in .xes, by name."""
+    from pyarrow import fs
+
+    where, name = _located(path)
+    if where.get_file_info(name).type != fs.FileType.Directory:
+        return [path]
+    names = sorted(f.base_name for f in where.get_file_info(fs.FileSelector(name)) if f.base_name.endswith(".xes"))
+    return [f"{path.rstrip('/')}/{n}" for n in names]
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -245,38 +261,44 @@ class _Reader(DataSourceReader):
 @dataclass
 class _Written(WriterCommitMessage):
     part: str
+    index: int
 
 
 class _Writer(DataSourceWriter):
-    """One ordered partition to one file, which appears under its name when it is whole."""
+    """Each partition to a document, which appears under its name when all are whole: the path itself, or with folder one in it."""
 
-    def __init__(self, path: str, meta: Meta, indent: int):
-        self.path, self.meta, self.indent = path, meta, indent
+    def __init__(self, path: str, meta: Meta, indent: int, folder: bool):
+        self.path, self.meta, self.indent, self.folder = path, meta, indent, folder
 
     def write(self, rows: Iterator) -> _Written:
-        part = f"{self.path}.{uuid.uuid4().hex}"
-        with open(part, "w", encoding="utf-8") as out:
+        from pyspark import TaskContext
+
+        index = TaskContext.get().partitionId()
+        where, name = _located(self.path)
+        part = f"{name}/.{uuid.uuid4().hex}" if self.folder else f"{name}.{uuid.uuid4().hex}"
+        if self.folder:
+            where.create_dir(name, recursive=True)
+        with where.open_output_stream(part) as out:
             for text in rendered(self.meta, rows, self.indent):
-                out.write(text)
-        return _Written(part)
+                out.write(text.encode())
+        return _Written(part, index)
 
     def commit(self, messages: list) -> None:
-        import os
-
-        own = [m for m in messages if m is not None]
-        if len(own) > 1:
-            raise StreamError("a document is written from one partition; call write_xes")
-        if own:
-            os.replace(own[0].part, self.path)
+        own = sorted((m for m in messages if m is not None), key=lambda m: m.index)
+        if len(own) > 1 and not self.folder:
+            raise StreamError("a document is written from one partition; call write_xes or write_folder")
+        where, name = _located(self.path)
+        for m in own:
+            where.move(m.part, f"{name}/part-{m.index:06d}.xes" if self.folder else name)
 
     def abort(self, messages: list) -> None:
         import contextlib
-        import os
 
+        where, _ = _located(self.path)
         for m in messages:
             if m is not None:
                 with contextlib.suppress(OSError):
-                    os.unlink(m.part)
+                    where.delete_file(m.part)
 
 
 class XesSource(DataSource):
@@ -290,10 +312,10 @@ class XesSource(DataSource):
         return COMPONENTS
 
     def reader(self, schema) -> _Reader:
-        return _Reader([p for p in self.options["path"].split(",") if p], self.options.get("mode", "FAILFAST").upper())
+        return _Reader([d for p in self.options["path"].split(",") if p for d in documents(p)], self.options.get("mode", "FAILFAST").upper())
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], meta_of_json(self.options.get("meta", "{}")), int(self.options.get("indent", "0")))
+        return _Writer(self.options["path"], meta_of_json(self.options.get("meta", "{}")), int(self.options.get("indent", "0")), self.options.get("folder", "false").lower() == "true")
 
 
 def read_meta(path: str) -> Meta:
@@ -308,9 +330,25 @@ def read_meta(path: str) -> Meta:
     return Meta()
 
 
+def merged(metas: list[Meta]) -> Meta:
+    """Meta data of several documents as one: whatever any of them declares, once; of attributes with equal keys the first."""
+    out = Meta()
+    for m in metas:
+        for own, new in ((out.extensions, m.extensions), (out.globals, m.globals), (out.classifiers, m.classifiers)):
+            own += [x for x in new if x not in own]
+        out.attributes = m.attributes | out.attributes
+    return out
+
+
 def read_xes(spark: SparkSession, *paths: str, mode: str = "FAILFAST") -> NestedLog:
+    """A log of one document or several; its meta data is that of all of them. With mode PERMISSIVE, defects are components of kind error."""
     spark.dataSource.register(XesSource)
-    meta = read_meta(paths[0]) if mode == "FAILFAST" else Meta()
+    own = [d for p in paths for d in documents(p)]
+    if mode == "FAILFAST":
+        with ThreadPoolExecutor(16) as pool:
+            meta = merged(list(pool.map(read_meta, own)))
+    else:
+        meta = Meta()
     return NestedLog(spark.read.format("xes").option("mode", mode).load(",".join(paths)), meta)
 
 
@@ -420,11 +458,10 @@ def rendered(meta: Meta, rows: Iterator, indent: int = 0) -> Iterator[str]:
 def write_xes(log: NestedLog, path: str, indent: int = 0) -> None:
     """Writes a log to one file (a local path or a URI), streaming its components in order to the driver.
 
-    The order is total, so one writer is what the format asks for; the driver holds one partition at a time.
+    The order is total, so one writer is what the format asks for; the driver holds one partition at a time. write_folder
+    writes from all executors.
     """
-    from pyarrow import fs
-
-    where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    where, name = _located(path)
     part = f"{name}.{uuid.uuid4().hex}"
     try:
         with mapped(), where.open_output_stream(part) as out:
@@ -440,9 +477,18 @@ def write_xes(log: NestedLog, path: str, indent: int = 0) -> None:
 
 def write_source(log: NestedLog, path: str, indent: int = 0) -> None:
     """As write_xes, through the data source: one ordered task on an executor writes the file."""
-    log.components.sparkSession.dataSource.register(XesSource)
-    ordered = log.components.repartition(1).sortWithinPartitions("seq")
-    ordered.write.format("xes").option("meta", meta_to_json(log.meta)).option("indent", str(indent)).mode("append").save(path)
+    _save(log, log.components.repartition(1).sortWithinPartitions("seq"), path, indent, False)
+
+
+def write_folder(log: NestedLog, path: str, indent: int = 0) -> None:
+    """Writes a log as a folder of documents with the same meta data, one for each range of components; read_xes reads it as one log."""
+    n = int(log.components.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    _save(log, log.components.repartitionByRange(n, "seq").sortWithinPartitions("seq"), path, indent, True)
+
+
+def _save(log: NestedLog, ordered: DataFrame, path: str, indent: int, folder: bool) -> None:
+    ordered.sparkSession.dataSource.register(XesSource)
+    ordered.write.format("xes").option("meta", meta_to_json(log.meta)).option("indent", str(indent)).option("folder", str(folder)).mode("append").save(path)
 
 
 def components_of(spark: SparkSession, folder_or_glob: list[str]) -> DataFrame:

@@ -211,12 +211,12 @@ class FlatLog(_Log):
             out._origin = origin
         return out
 
-    def _order_error(self, before: Column, size: Column) -> Column | None:
+    def _order_error(self, before: Column, several: Column) -> Column | None:
         """Error of an event of a trace against the one before it: of a trace of two or more, all need a date and none comes early."""
         if self.case is None or not any(e is Time for e in self.declared()):
             return None
         kind, column = self.event_map.get(Time.KEY, (None, None))
-        several = F.col(self.case).isNotNull() & (size >= 2)
+        several = F.col(self.case).isNotNull() & several
         if kind is None:
             return F.when(several, F.lit(tagged(ValidationError, f"{Time.KEY} not found")))
         if kind != "date":
@@ -228,14 +228,15 @@ class FlatLog(_Log):
         """Events with error_, what contradicts the log's declarations; events outside traces have no order among them."""
         own = self._component_error(self._event_scope(), Scope.EVENT)
         events = self.events
-        if self._order_error(F.lit(None), F.lit(0)) is not None:
+        if self._order_error(F.lit(None), F.lit(False)) is not None:
             # Events outside traces are spread over all tasks, each a group of its own.
             groups = [F.col(self.case), F.when(F.col(self.case).isNull(), F.xxhash64(*self.order))]
             column = self.event_map.get(Time.KEY, (None, None))[1]
-            before = F.lag(column).over(Window.partitionBy(*groups).orderBy(*self.order)) if column else F.lit(None)
-            events = events.withColumns({"before_": before, "size_": F.count("*").over(Window.partitionBy(*groups))})
-            own = F.coalesce(self._order_error(F.col("before_"), F.col("size_")), own)
-        return events.withColumn("error_", own).drop("before_", "size_")
+            w = Window.partitionBy(*groups).orderBy(*self.order)
+            several = F.lag(F.lit(True)).over(w).isNotNull() | F.lead(F.lit(True)).over(w).isNotNull()
+            events = events.withColumns({"before_": F.lag(column).over(w) if column else F.lit(None), "several_": several})
+            own = F.coalesce(self._order_error(F.col("before_"), F.col("several_")), own)
+        return events.withColumn("error_", own).drop("before_", "several_")
 
     def validate(self) -> FlatLog:
         """The log unchanged; an event or trace that contradicts what is declared raises when it is read."""

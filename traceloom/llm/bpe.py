@@ -3,7 +3,9 @@
 For each prefix of a piece the encoding that the merge rules give is unique, and so is its last token. An automaton over
 all vocabulary strings yields the tokens that end at a position; a token is the prefix's last one exactly if the prefix
 before it is encoded with a last token that stands beside it without a merge across their border. Back-pointers then give
-the ids. Nulls and empty texts have no ids; texts of any length are encoded whole; repeated rows are encoded alike.
+the ids. Nulls and empty texts have no ids; texts of any length are encoded whole, a part at a time; repeated rows and rows with
+equal or null ids are encoded each for itself; of equal ranks the left merge comes first; an empty table gives no rows; of the
+table's columns only doc_id and text are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from pyspark.sql import DataFrame
 from .encoder import byte_letters, path_of
 from .shared import texts
 
-REMEMBERED_PIECES, REMEMBERED_PAIRS = 1_200_000, 1_500_000
+REMEMBERED_PIECES, REMEMBERED_LETTERS, REMEMBERED_PAIRS = 1_200_000, 30_000_000, 1_500_000
+#: Letters of a text that are cut into pieces at once, and ids that are turned to text at once.
+SLICE, IDS_AT_ONCE = 3_000_000, 500_000
 #: Stands for the end-of-word suffix inside automaton strings.
 END = "\0"
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
@@ -72,6 +76,7 @@ class PrefixBpe:
         normal = spec.get("normalizer")
         self.folds = str(normal).count("Lowercase") > 0 and spec["pre_tokenizer"]["type"] == "Sequence"
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _right(self, t: int) -> list[tuple[int, int]]:
         """Tokens at t's right end while it is built, each with the rank of the merge that consumes it."""
@@ -167,26 +172,38 @@ class PrefixBpe:
         text = text or ""
         if not self.folds:  # what stands beside white space matters to this tokenizer
             return np.array(self.chunk(text), "<u4").tobytes()
+        if len(text) <= SLICE:
+            return self.known_pieces(text)
+        parts, a = [], 0
+        while len(text) - a > SLICE and (m := _SPACES.search(text, a + SLICE)):
+            parts.append(self.known_pieces(text[a : m.start()]))
+            a = m.start()
+        return b"".join([*parts, self.known_pieces(text[a:])])
+
+    def known_pieces(self, text: str) -> bytes:
+        """Ids of a text cut at white space; pieces are remembered up to a number of them and of their letters."""
         pieces = [x for x in _SPACES.split(text) if x] if _ODD.search(text) else text.split()
         known = self.known
         try:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
-            if len(known) > REMEMBERED_PIECES:
+            if len(known) > REMEMBERED_PIECES or self.held > REMEMBERED_LETTERS:
                 known.clear()
+                self.held = 0
             for x in pieces:
                 if x not in known:
                     known[x] = np.array(self.chunk(x), "<u4").tobytes()
+                    self.held += len(x)
             return b"".join(map(known.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> str:
         """Text of ids as the library's decode with skip_special_tokens=False gives it."""
-        tokens = self.tokens
-        parts = [tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]
-        if self.library.decoder is None:
-            return " ".join(parts)
-        back = {x: b for b, x in enumerate(self.letters)}
-        return b"".join(bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in parts).decode("utf-8", "replace")
+        tokens, numbers, plain = self.tokens, np.frombuffer(ids, "<u4"), self.library.decoder is None
+        back, parts = {x: b for b, x in enumerate(self.letters)}, []
+        for i in range(0, len(numbers), IDS_AT_ONCE):
+            own = [tokens[k] for k in numbers[i : i + IDS_AT_ONCE].tolist()]
+            parts.append(" ".join(own) if plain else b"".join(bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in own))
+        return " ".join(parts) if plain else b"".join(parts).decode("utf-8", "replace")
 
 
 @functools.lru_cache(2)

@@ -2,7 +2,8 @@
 
 White space bounds the library's pieces, so a text is cut where no rule of the tokenizer can look across, the pieces are
 looked up, and only pieces not met before go to the library.
-Ids are exactly the library's; the table of pieces is emptied when it reaches a fixed size, so memory is bounded.
+Ids are exactly the library's; the table of pieces is emptied when it reaches a fixed number of pieces or letters, and a long text
+is handled part by part, so memory is bounded but for the text and its ids.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ def byte_letters() -> list[str]:
     return out
 
 
-#: Pieces that a worker remembers.
-REMEMBERED = 900_000
+#: Pieces that a worker remembers, and their letters in all; letters of a text that are cut into pieces at once.
+REMEMBERED, LETTERS_HELD, SLICE = 900_000, 30_000_000, 3_000_000
 _ASCII_SPACES = re.compile(r"[\x20\t-\r]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
@@ -52,6 +53,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.base: dict[str, bytes] = {}
+        self.letters = 0
         self.plain = self.split = None
         probe = self._library(["a b", "a", " b", "a\n b", "\n"])
         # White space is dropped: cut at white space. Or a single space belongs to what follows it: cut before single spaces.
@@ -81,9 +83,13 @@ class Encoder:
         """Encodes pieces that are not known yet: Latin ones pre-token by pre-token with the library's BPE model, others as a whole."""
         known, base, tokenize = self.known, self.base, self.model.tokenize
         new = [x for x in pieces if x not in known]
-        if len(known) + len(new) > REMEMBERED:
+        more = sum(map(len, new))
+        if len(known) + len(new) > REMEMBERED or self.letters + more > LETTERS_HELD:
             known.clear()
+            base.clear()
             new = list(pieces)
+            self.letters, more = 0, sum(map(len, new))
+        self.letters += more
         if len(base) > REMEMBERED:
             base.clear()
         other = []
@@ -103,18 +109,38 @@ class Encoder:
             for x, own in zip(other[i : i + 1000], self._library(other[i : i + 1000]), strict=True):
                 known[x] = array("I", own).tobytes()
 
-    def many(self, texts: list[str | None], block: int = 3_000_000) -> list[bytes]:
+    def slices(self, text: str) -> list[str]:
+        """A text in parts of about SLICE letters, cut where its pieces are the same as the whole text's."""
+        out, a = [], 0
+        while len(text) - a > SLICE and (self.drops or self.keeps):
+            m = (_ASCII_SPACES if self.drops else _SINGLE).search(text, a + SLICE)
+            if m is None:
+                break
+            out.append(text[a : m.start()])
+            a = m.start()
+        return [*out, text[a:]]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text is empty."""
         out, i = [], 0
         while i < len(texts):
             cut, size = [], 0
-            while i < len(texts) and (not cut or size < block):
+            while i < len(texts) and size < SLICE and len(texts[i] or "") <= SLICE:
                 cut.append(self.pieces(texts[i] or ""))
                 size += len(texts[i] or "")
                 i += 1
-            self.learn(set().union(*cut))
-            get = self.known.__getitem__
-            out += [b"".join(map(get, x)) for x in cut]
+            if cut:
+                self.learn(set().union(*cut))
+                get = self.known.__getitem__
+                out += [b"".join(map(get, x)) for x in cut]
+            else:
+                parts = []
+                for part in self.slices(texts[i]):
+                    own = self.pieces(part)
+                    self.learn(set(own))
+                    parts.append(b"".join(map(self.known.__getitem__, own)))
+                out.append(b"".join(parts))
+                i += 1
         return out
 
 

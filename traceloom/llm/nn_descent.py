@@ -241,7 +241,7 @@ def _edges(parts: list[np.ndarray]) -> pa.RecordBatch:
 def found_links(reps: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
     """u and v that join what is linked: every pair at the threshold that a comparison met is in them, or joined by stars."""
     spark = reps.sparkSession
-    n = buckets(spark)
+    n = buckets(reps)
 
     def kept(found: DataFrame) -> tuple[DataFrame, str]:
         found = written(found, path := scratch(spark, "found"))
@@ -261,7 +261,7 @@ def found_links(reps: DataFrame, tables: int, bits: int, seed: int) -> DataFrame
     hot, blocks = hot.view(np.uint64)[order], blocks[order]
     planned = grouped.join(whole, "group", "left").select("id", "raw", "group", F.coalesce("blocks", F.lit(0).cast("long")).alias("blocks"))
     packed = planned.mapInArrow(lambda it: record_batches(table_rows(it, n, tables, bits, seed, hot, blocks), PACKED), PACKED_SQL)
-    found, path = kept(dealt(packed).mapInArrow(lists_of, "u long, v long, s double"))
+    found, path = kept(dealt(packed, n).mapInArrow(lists_of, "u long, v long, s double"))
     lists = written(shortened(found), scratch(spark, "neighbours"))
     dropped(spark, path)
     for _ in range(ROUNDS):

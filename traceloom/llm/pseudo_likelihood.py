@@ -49,7 +49,7 @@ def count_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """Packed rows of kind COUNT: hashes of all words, ascending, and how often they occur in all documents."""
-    n = buckets(docs.sparkSession)
+    n = buckets(docs)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -61,7 +61,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         return record_batches(rows(), PACKED)
 
     packed = texts(docs).mapInArrow(lambda it: record_batches(count_rows(it, n), PACKED), PACKED_SQL)
-    return written(dealt(packed).mapInArrow(total, PACKED_SQL), scratch(docs.sparkSession, "words"))
+    return written(dealt(packed, n).mapInArrow(total, PACKED_SQL), scratch(docs.sparkSession, "words"))
 
 
 def frequent_words(counts: DataFrame) -> np.ndarray:
@@ -265,7 +265,7 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score(docs: DataFrame, block: int = 16_384) -> DataFrame:
     """doc_id, n_words, log_likelihood (sum) and mean_log_probability of every document, by a model trained on all of them."""
-    n = buckets(docs.sparkSession)
+    n = buckets(docs)
     counts = word_counts(docs)
     vocabulary = frequent_words(counts)
     total, unknown = class_masses(counts, vocabulary)
@@ -295,5 +295,5 @@ def score(docs: DataFrame, block: int = 16_384) -> DataFrame:
                 done += m
 
     packed = texts(docs).mapInArrow(lambda it: record_batches(rows(it), PACKED), PACKED_SQL)
-    parts = dealt(counts.unionByName(packed)).mapInArrow(lambda it: record_batches(within_classes(it, n, total, unknown), PACKED), PACKED_SQL)
-    return dealt(parts).mapInArrow(summed, "doc_id long, n_words long, log_likelihood double, mean_log_probability double")
+    parts = dealt(counts.unionByName(packed), n).mapInArrow(lambda it: record_batches(within_classes(it, n, total, unknown), PACKED), PACKED_SQL)
+    return dealt(parts, n).mapInArrow(summed, "doc_id long, n_words long, log_likelihood double, mean_log_probability double")

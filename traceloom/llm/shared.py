@@ -12,13 +12,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .words import NULL_ID, mix
 
-#: Entries that a task holds before it sends out what it has packed.
-FLUSH = 2_000_000
+#: Entries that a task holds before it sends out what it has packed; bytes of whole rows; bytes of input that a bucket should have.
+FLUSH, FLUSH_BYTES, BUCKET_BYTES = 2_000_000, 32_000_000, 32_000_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -44,9 +45,28 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def buckets(spark: SparkSession) -> int:
-    """Buckets that packed rows are dealt to: they follow the shuffle partitions, which follow the input."""
-    return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads, as far as Spark knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def buckets(df: DataFrame) -> int:
+    """Buckets that packed rows of df are dealt to: as many as there are shuffle partitions, or more if the input asks for more,
+    so that no task's share grows with it."""
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // BUCKET_BYTES))
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """wanted, each with as many underscores behind it as it needs to be no other column's name."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
 
 
 def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
@@ -91,19 +111,38 @@ def doc_buckets(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def packed_documents(docs: DataFrame, n: int) -> DataFrame:
-    """Whole rows of docs as compressed Arrow messages of kind TEXTS, packed by the bucket of their doc_id."""
+    """Whole rows of docs as compressed Arrow messages of kind TEXTS, packed by the bucket of their doc_id.
+
+    Rows without id go to all buckets in turn. A task holds FLUSH_BYTES of rows, so that messages hold many rows however many
+    buckets there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
+            held, size, turn = [], 0, TaskContext.get().partitionId()
             for b in batches:
-                bucket = doc_buckets(b.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False), n)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else []
-                for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                        out.write_batch(b.take(pa.array(order[i:j])))
-                    yield int(bucket[order[i]]), TEXTS, sink.getvalue().to_pybytes(), b"", b"", b""
+                held.append(b)
+                size += b.nbytes
+                if size >= FLUSH_BYTES:
+                    yield from messages(held, turn)
+                    held, size = [], 0
+            yield from messages(held, turn)
+
+        def messages(held: list[pa.RecordBatch], turn: int) -> Iterator[tuple]:
+            if not held:
+                return
+            b = pa.Table.from_batches(held).combine_chunks()
+            ids = b.column("doc_id")
+            bucket = doc_buckets(ids.fill_null(NULL_ID).to_numpy(), n)
+            null = np.flatnonzero(ids.is_null().to_numpy())
+            bucket[null] = (turn + np.arange(len(null))) % n
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else []
+            for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                sink, some = pa.BufferOutputStream(), order[i:j]
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(b.take(pa.array(some)))
+                yield int(bucket[some[0]]), TEXTS, sink.getvalue().to_pybytes(), b"", b"", b""
 
         return record_batches(rows(), PACKED)
 
@@ -112,7 +151,7 @@ def packed_documents(docs: DataFrame, n: int) -> DataFrame:
 
 def unpacked(raw: bytes) -> pa.RecordBatch:
     with pa.ipc.open_stream(raw) as r:
-        return r.read_next_batch()
+        return r.read_all().combine_chunks().to_batches()[0]
 
 
 def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -134,9 +173,10 @@ def joined(rows: list[tuple], column: int, kind: type | str) -> np.ndarray:
     return np.frombuffer(b"".join(r[column] for r in rows), kind)
 
 
-def dealt(packed: DataFrame) -> DataFrame:
-    """Packed rows with each bucket in one task, sorted by bucket and kind."""
-    n = max(32, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def dealt(packed: DataFrame, n: int = 32) -> DataFrame:
+    """Packed rows of n buckets with each bucket in one task, sorted by bucket and kind."""
+    partitions = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(32, partitions, n if n > 64 else 0)
     return packed.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
 
 

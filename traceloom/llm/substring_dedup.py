@@ -10,8 +10,14 @@
    Aho-Corasick automaton over words with the first owner as value, and all documents of the bucket stream through it;
    what it finds with an owner before the document is removed.
 
-Documents whose text is null or shorter than a window lose nothing; rows with a null id own nothing and lose nothing;
-of rows with equal ids none is before the other. Windows are judged on the input, not on what is left.
+Windows are told apart by 96 bits all through: two different ones of the same bucket are taken for equal with a probability of
+2**-96 for each pair of them; a phrase then matches by the hashes of its 13 words, 64 bits each.
+
+Documents whose text is null, empty or shorter than a window lose nothing; rows with a null id own nothing and lose nothing, and
+are spread over all buckets; of rows with equal ids none is before the other, and all lose alike what a smaller id has. Windows
+are judged on the input, not on what is left. A very long text is one row of its bucket; a bucket's texts are kept compressed
+and handled one message at a time. An empty table gives no rows. Columns other than doc_id and text pass through untouched,
+whatever their names; counts are added only under names that the caller chooses.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import FLUSH, PACKED, PACKED_SQL, TEXTS, bucket_of, buckets, by_bucket, dealt, doc_buckets, dropped, joined, packed_documents, packed_rows, record_batches, scratch, texts, unpacked, written
 from .words import NULL_ID, P3, Words, chunks, grams, inside, mix
@@ -159,8 +166,13 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         owner = np.where(least < doc, ANY, doc)
         own = np.flatnonzero((least < doc) | many)
         own = own[np.argsort(source[own], kind="stable")]
-        for k, (x, y) in packed_rows(source[own], a[own], owner[own]):
-            yield k, FOUND, x, y, b"", b""
+        for k, (x, y, z) in packed_rows(source[own], a[own], owner[own], b[own]):
+            yield k, FOUND, x, y, z, b""
+
+
+def window_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One key of both hashes of windows: equal keys have equal hashes but for a chance that both spread alike."""
+    return mix(a + mix(b.astype(np.uint64) + np.uint64(1)))
 
 
 class Phrases:
@@ -211,15 +223,19 @@ def removed_words(w: Words, h: np.ndarray, auto: Phrases | None) -> np.ndarray:
     return out
 
 
-def phrases_of(w: Words, h: np.ndarray, hits: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that cover the confirmed passages of some documents, as word hashes, and their owners."""
+def phrases_of(w: Words, h: np.ndarray, hits: np.ndarray, second: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that cover the confirmed passages of some documents, as word hashes, and their owners.
+
+    hits are the keys of the confirmed windows, ascending, and second their other hash, which must agree too.
+    """
     s = np.flatnonzero(inside(w.first, WINDOW))
     if not len(s):
         return np.zeros((0, WINDOW), np.uint64), np.zeros(0, np.int64)
-    g = grams(h, WINDOW)[s]
+    other = (grams(h, WINDOW, P3)[s] >> np.uint64(32)).astype(np.uint32)
+    g = window_key(grams(h, WINDOW)[s], other)
     at = np.minimum(np.searchsorted(hits, g), len(hits) - 1)
     doc = np.searchsorted(w.first, s, "right") - 1
-    own = (hits[at] == g) & (owners[at] < w.ids[doc]) & (w.ids[doc] != NULL_ID)
+    own = (hits[at] == g) & (second[at] == other) & (owners[at] < w.ids[doc]) & (w.ids[doc] != NULL_ID)
     s, owner, doc = s[own], owners[at[own]], doc[own]
     if not len(s):
         return np.zeros((0, WINDOW), np.uint64), np.zeros(0, np.int64)
@@ -231,40 +247,57 @@ def phrases_of(w: Words, h: np.ndarray, hits: np.ndarray, owners: np.ndarray) ->
     return h[s[tile][:, None] + np.arange(WINDOW)], owner[tile]
 
 
-def cleaned(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+def cleaned(batches: Iterator[pa.RecordBatch], digest: bool, counts: list[str]) -> Iterator[pa.RecordBatch]:
     for _, rows in by_bucket(batches):
-        hits, docs = [r for r in rows if r[1] == FOUND], [unpacked(r[2]) for r in rows if r[1] == TEXTS]
+        hits, docs = [r for r in rows if r[1] == FOUND], [r[2] for r in rows if r[1] == TEXTS]
         auto = None
         if hits:
-            a, owner = joined(hits, 2, np.uint64), joined(hits, 3, np.int64)
-            order = np.argsort(a, kind="stable")
-            a, owner = a[order], owner[order]
-            parts = [phrases_of(w, w.hashes(), a, owner) for b in docs for w in chunks(b)]
+            second, owner = joined(hits, 4, np.uint32), joined(hits, 3, np.int64)
+            key = window_key(joined(hits, 2, np.uint64), second)
+            order = np.argsort(key, kind="stable")
+            key, second, owner = key[order], second[order], owner[order]
+            parts = [phrases_of(w, w.hashes(), key, second, owner) for raw in docs for w in chunks(unpacked(raw))]
             phrases, owners = (np.concatenate([p[k] for p in parts]) for k in (0, 1)) if parts else ([], [])
             if len(phrases):
                 _, one = np.unique(grams(phrases.ravel(), WINDOW)[::WINDOW], return_index=True)
                 auto = Phrases(phrases[one], owners[one])
-        for b in docs:
+        for b in map(unpacked, docs):
             n_words, n_removed, kept = [], [], []
             for w in chunks(b):
                 gone = removed_words(w, w.hashes(), auto)
                 for i in range(len(w.ids)):
-                    raw = w.data[w.offsets[i] : w.offsets[i + 1]].tobytes()
                     mask = gone[w.first[i] : w.first[i + 1]]
                     n_words.append(len(mask))
                     n_removed.append(int(mask.sum()))
                     if digest:
-                        parts = raw.split()
-                        left = b" ".join([x for x, m in zip(parts, mask.tolist(), strict=True) if not m] if n_removed[-1] else parts)
-                        kept.append(hashlib.sha256(left).hexdigest())
+                        kept.append(hashlib.sha256(kept_words(w, i, mask, n_removed[-1] > 0)).hexdigest())
                     else:
-                        kept.append(without(raw, w, i, mask).decode() if n_removed[-1] else None)
+                        kept.append(without(w.data[w.offsets[i] : w.offsets[i + 1]].tobytes(), w, i, mask).decode() if n_removed[-1] else None)
             if digest:
                 yield pa.record_batch([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
             else:
                 text = pa.array([k if r else t for k, r, t in zip(kept, n_removed, b.column("text").to_pylist(), strict=True)], pa.string())
-                columns = [text if name == "text" else b.column(name) for name in b.schema.names]
-                yield pa.record_batch([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*b.schema.names, "n_words_", "n_removed_"])
+                columns = [text if name == "text" else b.column(i) for i, name in enumerate(b.schema.names)]
+                more = [pa.array(x, pa.int64()) for x in (n_words, n_removed)][: len(counts)]
+                yield pa.record_batch([*columns, *more], [*b.schema.names, *counts])
+
+
+def kept_words(w: Words, i: int, mask: np.ndarray, some: bool, most: int = 1_000_000) -> bytes:
+    """A document's words but the masked ones, joined by one space."""
+    raw = w.data[w.offsets[i] : w.offsets[i + 1]]
+    if len(raw) <= most:
+        parts = raw.tobytes().split()
+        return b" ".join([x for x, m in zip(parts, mask.tolist(), strict=True) if not m] if some else parts)
+    # Of a long one, the bytes of kept words, and the white space behind each but the last as a space.
+    a, b, left = w.first[i], w.first[i + 1], ~mask
+    starts, ends = (x[a:b][left] - w.offsets[i] for x in (w.starts, w.ends))
+    edge = np.zeros(len(raw) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    keep, out = np.cumsum(edge[:-1], dtype=np.int8) > 0, raw.copy()
+    keep[ends[:-1]] = True
+    out[ends[:-1]] = 32
+    return out[keep].tobytes()
 
 
 def without(raw: bytes, w: Words, i: int, mask: np.ndarray) -> bytes:
@@ -284,23 +317,24 @@ def _through(df: DataFrame, step, *args) -> DataFrame:
     return df.mapInArrow(lambda batches: record_batches(step(batches, *args), PACKED), PACKED_SQL)
 
 
-def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """All rows of docs with text less its repeated words, and n_words_ and n_removed_.
+def remove_repeats(docs: DataFrame, digest: bool = False, counts: tuple[str, str] | None = None) -> DataFrame:
+    """All rows of docs with text less its repeated words; counts names two more columns, of words and of removed words.
 
     With digest: doc_id, n_words, n_removed and kept_sha256, of the kept words joined by one space.
     """
-    spark = docs.sparkSession
-    n = buckets(spark)
+    spark, n = docs.sparkSession, buckets(docs)
     own = texts(docs)
-    cand = written(_through(dealt(_through(own, candidate_rows, n)), recurring, n), path := scratch(spark, "passages"))
-    rows = _through(dealt(packed_documents(own, n).unionByName(cand)), window_rows, n)
-    hits = written(_through(dealt(rows), confirmed), scratch(spark, "passages"))
+    cand = written(_through(dealt(_through(own, candidate_rows, n), n), recurring, n), path := scratch(spark, "passages"))
+    rows = _through(dealt(packed_documents(own, n).unionByName(cand), n), window_rows, n)
+    hits = written(_through(dealt(rows, n), confirmed), scratch(spark, "passages"))
     dropped(spark, path)
     whole = own if digest else docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    final = dealt(packed_documents(whole, n).unionByName(hits))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" if digest else f"{fields}, n_words_ long, n_removed_ long"
-    return final.mapInArrow(lambda batches: cleaned(batches, digest), schema)
+    names = list(counts or ())
+    if taken := {c.lower() for c in docs.columns} & {c.lower() for c in names}:
+        raise ValueError(f"the table has columns {sorted(taken)} already; choose other names for the counts")
+    final = dealt(packed_documents(whole, n).unionByName(hits), n)
+    schema = T.StructType([*whole.schema.fields, *[T.StructField(c, T.LongType()) for c in names]])
+    return final.mapInArrow(lambda batches: cleaned(batches, digest, names), "doc_id long, n_words long, n_removed long, kept_sha256 string" if digest else schema)
 
 
 ORACLE_SQL = r"""

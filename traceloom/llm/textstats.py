@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .shared import texts
 from .words import Words, chunks, grams, inside, mix
@@ -50,6 +51,8 @@ def stats(w: Words) -> dict[str, np.ndarray]:
     n, data = len(w.ids), w.data
 
     def count(flags: np.ndarray) -> np.ndarray:
+        if n == 1:
+            return np.array([np.count_nonzero(flags)])
         total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
         return total[w.offsets[1:]] - total[w.offsets[:-1]]
 
@@ -98,14 +101,13 @@ def distinct_exact(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 def with_stats(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, columns named in more, and COLUMNS as long for every document; a null text counts as empty."""
     df = texts(docs, *more)
-    kept = [f for f in df.schema if f.name in more]
+    schema = T.StructType([f for f in df.schema if f.name != "text"] + [T.StructField(c, T.LongType()) for c in COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = [stats(w) for w in chunks(b)]
             if parts:
                 arrays = [pa.array(np.concatenate([p[c] for p in parts]).astype(np.int64)) for c in COLUMNS]
-                yield pa.record_batch([b.column("doc_id"), *[b.column(f.name) for f in kept], *arrays], ["doc_id", *more, *COLUMNS])
+                yield pa.record_batch([b.column("doc_id"), *[b.column(c) for c in more], *arrays], ["doc_id", *more, *COLUMNS])
 
-    schema = ", ".join(["doc_id long", *[f"{f.name} {f.dataType.simpleString()}" for f in kept], *[f"{c} long" for c in COLUMNS]])
     return df.mapInArrow(run, schema)

@@ -14,7 +14,8 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: Bytes of text that are handled at once; temporary arrays take about 40 times as much.
+#: Bytes of text that are handled at once; temporary arrays take about 40 times as much. Of a longer document the hashes are made
+#: piece by piece; arrays with a number for each of its words remain, about 15 times its size.
 CHUNK = 500_000
 
 P1, P2, P3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
@@ -45,6 +46,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def long_hash(data: np.ndarray) -> np.uint64:
+    """The hash of one span of any length."""
+    up, _ = powers(P1, CHUNK + 1)
+    total = np.zeros(1, np.uint64)
+    for k in range(0, len(data), CHUNK):
+        block = data[k : k + CHUNK].astype(np.uint64) + np.uint64(1)
+        total += (block * up[: len(block)]).sum(dtype=np.uint64, keepdims=True) * np.uint64(pow(P1, k, 1 << 64))
+    return mix(total + np.uint64(len(data)))[0]
+
+
 @dataclass
 class Words:
     """Words of some documents, in order. starts and ends are byte positions in data; first[i]:first[i + 1] are document i's."""
@@ -66,13 +77,23 @@ class Words:
         return np.repeat(np.arange(len(self.ids)), self.counts)
 
     def hashes(self, data: np.ndarray | None = None, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+        """A 64-bit hash of each word's bytes, or of other spans that don't overlap; CHUNK bytes at a time."""
         data = self.data if data is None else data
         starts, ends = (self.starts, self.ends) if starts is None else (starts, ends)
-        up, down = powers(P1, len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        out, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
+            a, b = int(starts[i]), int(ends[j - 1])
+            if b - a > CHUNK:
+                out[i] = long_hash(data[a:b])
+            else:
+                up, down = powers(P1, b - a + 1)
+                total = np.zeros(b - a + 1, np.uint64)
+                np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=total[1:])
+                s, e = starts[i:j] - a, ends[i:j] - a
+                out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+            i = j
+        return out
 
     def text(self, i: int, j: int) -> bytes:
         return self.data[self.starts[i] : self.ends[j - 1]].tobytes()
@@ -96,7 +117,7 @@ def inside(first: np.ndarray, k: int) -> np.ndarray:
     return left >= k
 
 
-def chunks(batch: pa.RecordBatch, lower: bool = False, limit: int = CHUNK) -> Iterator[Words]:
+def chunks(batch: pa.RecordBatch, lower: bool = False) -> Iterator[Words]:
     """Words of the documents of a batch with doc_id and text, some MB at a time; a null text has none."""
     ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
     col = batch.column("text")
@@ -110,7 +131,7 @@ def chunks(batch: pa.RecordBatch, lower: bool = False, limit: int = CHUNK) -> It
     buf = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
     a = 0
     while a < len(ids):
-        b = max(a + 1, int(np.searchsorted(raw, raw[a] + limit, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(raw, raw[a] + CHUNK, "right")) - 1)
         yield words_of(buf[raw[a] : raw[b]], ids[a:b], raw[a : b + 1] - raw[a], lower)
         a = b
 

@@ -36,7 +36,9 @@ def failures() -> Column:
 def host_verdicts(measured: DataFrame, host: str) -> DataFrame:
     """host, n, failed, rate (shrunk) and bad for each host of rows with n_failed."""
     hosts = measured.groupBy(host).agg(F.count("*").alias("n"), F.sum((F.col("n_failed") > 0).cast("long")).alias("failed"))
-    moments = hosts.agg((F.sum("failed") / F.sum("n")).alias("m"), F.var_pop(F.col("failed") / F.col("n")).alias("v"))
+    raw = hosts.agg((F.sum("failed") / F.sum("n")).alias("m"), F.var_pop(F.col("failed") / F.col("n")).alias("v"), F.avg(1 / F.col("n")).alias("w"))
+    # Rates of small hosts vary by chance alone: that part of the variance says nothing about how hosts differ.
+    moments = raw.select("m", (F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("w")).alias("v"))
     # Strength of the prior from mean and variance of the hosts' rates, kept within 2 and 1000 observations.
     s = F.when((F.col("v") > 0) & (F.col("m") > 0) & (F.col("m") < 1), F.least(F.lit(1000.0), F.greatest(F.lit(2.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(1000.0))
     prior = moments.select((F.col("m") * s).alias("alpha"), s.alias("strength"))
@@ -46,15 +48,29 @@ def host_verdicts(measured: DataFrame, host: str) -> DataFrame:
     return rated.select(F.col(host), "n", "failed", rate.alias("rate"), (rate > HOST_LIMIT).alias("bad"))
 
 
+def measured(docs: DataFrame, host: str, *more: str) -> DataFrame:
+    """doc_id, host_, the columns named in more, counts, base_failed and n_failed of every row; written, so measured once."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host_"), *[F.col(c).alias(f"of_{i}") for i, c in enumerate(more)])
+    own = with_stats(given, "host_", *[f"of_{i}" for i in range(len(more))]).withColumns({"base_failed": base_failed(), "n_failed": failures()})
+    return written(own, scratch(docs.sparkSession, "rules"))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """rows with host_bad and kept."""
+    verdicts = host_verdicts(rows, "host_").select(F.col("host_").alias("of_host"), F.col("bad").alias("host_bad"))
+    out = rows.join(verdicts, F.col("host_").eqNullSafe(F.col("of_host"))).drop("of_host")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_failed") < F.when(F.col("host_bad"), 1).otherwise(2)))
+
+
 def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, counts, base_failed, n_failed, host_bad and kept of every document."""
-    own = docs.withColumn("host_", F.col(host).cast("string"))
-    measured = with_stats(own, "host_").withColumns({"base_failed": base_failed(), "n_failed": failures()})
-    measured = written(measured, scratch(docs.sparkSession, "rules"))
-    verdicts = host_verdicts(measured, "host_").select(F.col("host_").alias("of_host"), F.col("bad").alias("host_bad"))
-    judged = measured.join(verdicts, F.col("host_").eqNullSafe(F.col("of_host"))).drop("of_host")
-    kept = ~F.col("base_failed") & (F.col("n_failed") < F.when(F.col("host_bad"), 1).otherwise(2))
-    return judged.withColumn("kept", kept).withColumnRenamed("host_", "host")
+    return judged(measured(docs, host)).withColumnRenamed("host_", "host")
+
+
+def without_failed(docs: DataFrame, host: str = "source") -> DataFrame:
+    """Rows of docs, unchanged, that the rules keep. Rows travel with their counts, so no text is shuffled and equal ids don't matter."""
+    rows = judged(measured(docs, host, *docs.columns)).where("kept")
+    return rows.select(*[F.col(f"of_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 ORACLE_SQL = r"""
@@ -72,7 +88,8 @@ m AS (SELECT w.doc_id, source, len(ws)::BIGINT AS n_words, list_sum(list_transfo
 f AS (SELECT *, coalesce(chars, 0) AS word_chars, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 g AS (SELECT *, base_failed::INT + (100 * n_symbols > 10 * n_words)::INT + (100 * n_dup_lines > 30 * n_lines)::INT + (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT AS n_failed FROM f),
 h AS (SELECT source AS host, count(*) AS n, sum((n_failed > 0)::BIGINT) AS failed FROM g GROUP BY source),
-p AS (SELECT sum(failed) / sum(n) AS m, var_pop(failed / n) AS v FROM h),
+o AS (SELECT sum(failed) / sum(n) AS m, var_pop(failed / n) AS v, avg(1 / n) AS w FROM h),
+p AS (SELECT m, v - m * (1 - m) * w AS v FROM o),
 q AS (SELECT m, CASE WHEN v > 0 AND m > 0 AND m < 1 THEN least(1000.0, greatest(2.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s FROM p),
 b AS (SELECT host, (failed + m * s) / (n + s) > 0.3 AS bad FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -12,10 +12,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from traceloom.llm import bpe, graph, host_rules, minhash, nn_descent, packing, pseudo_likelihood, quality_bt, substring_dedup, token_store, toxicity
+from traceloom.llm import bpe, encoder, graph, host_rules, minhash, nn_descent, packing, pseudo_likelihood, quality_bt, substring_dedup, textstats, token_store, toxicity, words
 from traceloom.llm.encoder import Encoder, path_of
-from traceloom.llm.shared import record_batches
+from traceloom.llm.shared import packed_documents, record_batches
+from traceloom.llm.words import words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, n_words long, kind string, h string"
@@ -65,8 +67,6 @@ def empty(spark):
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoders_equal_the_library(texts, name):
-    from tokenizers import Tokenizer
-
     library = Tokenizer.from_file(path_of(name))
     given = [t or "" for t in texts]
     want = [e.ids for e in library.encode_batch(given, add_special_tokens=False)]
@@ -97,6 +97,9 @@ def test_token_store(spark, docs, empty, rows, tmp_path):
     assert sorted(map(tuple, token_store.read_store(manifest, digest=True).collect())) == want
     found = {r.doc_id: r.ids for r in token_store.lookup(manifest, [3, 5, 10_000]).collect()}
     assert found.keys() == {3, 5} and zlib.crc32(found[3]) == want[3][3]
+    assert manifest.count() > 1 and token_store.shards_with(manifest, [3]).count() == 1 and token_store.shards_with(manifest, [10_000, -4]).count() == 0
+    null = docs.select(F.when(F.col("doc_id") > 2, F.col("doc_id")).alias("doc_id"), "text")
+    assert token_store.lookup(token_store.write_store(null, f"file://{tmp_path}/nulls"), [None, 3]).count() == 4
     assert token_store.read_store(token_store.write_store(empty, f"file://{tmp_path}/none")).count() == 0
 
 
@@ -150,10 +153,10 @@ def test_substring_dedup(docs, empty, rows):
     want = removed_by_force(rows)
     assert sum(x[1] for x in want.values()) > 500
     assert {r[0]: tuple(r[1:]) for r in substring_dedup.remove_repeats(docs, digest=True).collect()} == want
-    whole = substring_dedup.remove_repeats(docs)
-    assert whole.columns == [*docs.columns, "n_words_", "n_removed_"]
+    whole = substring_dedup.remove_repeats(docs, counts=("n_of_words", "n_removed_"))
+    assert whole.columns == [*docs.columns, "n_of_words", "n_removed_"]
     for r in whole.collect():
-        assert hashlib.sha256(" ".join(WORD.findall(r.text or "")).encode()).hexdigest() == want[r.doc_id][2]
+        assert (r.n_of_words, r.n_removed_) == want[r.doc_id][:2] and hashlib.sha256(" ".join(WORD.findall(r.text or "")).encode()).hexdigest() == want[r.doc_id][2]
     assert substring_dedup.remove_repeats(empty, digest=True).count() == 0
 
 
@@ -165,6 +168,61 @@ def test_null_ids_own_nothing(spark):
     assert {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()} == {(None, None, True), (1, 1, True), (2, 1, False)}
 
 
+def test_wide_tables_and_clashing_names(spark):
+    """Columns of any number, name and type come back as they were; counts never hide one of them."""
+    long = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, long), (2, "x " + long)], "doc_id int, text string").withColumns({f"c{i}": F.lit(i) for i in range(30)}).withColumn("n_removed_", F.array(F.struct(F.lit(1).alias("doc_id"))))
+    out = substring_dedup.remove_repeats(df)
+    assert out.columns == df.columns and {(r.doc_id, r.text.strip(), r.c29, r.n_removed_[0].doc_id) for r in out.collect()} == {(1, long, 29, 1), (2, "x", 29, 1)}
+    with pytest.raises(ValueError, match="n_removed_"):
+        substring_dedup.remove_repeats(df, counts=("n", "N_REMOVED_"))
+
+
+def test_kept_words_of_long_texts():
+    text = "\n a  bb\tccc d\x0be  "
+    w = words_of(np.frombuffer(("zz " + text).encode(), np.uint8), np.array([0, 1]), np.array([0, 3, 3 + len(text)]))
+    for bits in range(32):
+        mask = np.array([bits >> k & 1 for k in range(5)], bool)
+        want = substring_dedup.kept_words(w, 1, mask, True)
+        assert substring_dedup.kept_words(w, 1, mask, True, most=0) == want == b" ".join(x for x, m in zip(text.encode().split(), mask, strict=True) if not m)
+
+
+def test_rows_without_id_are_spread(spark):
+    df = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    sizes = [r["count"] for r in packed_documents(df.coalesce(1), 64).groupBy("bucket").count().collect()]
+    assert len(sizes) == 64 and substring_dedup.remove_repeats(df).count() == 2000
+
+
+def test_long_texts_are_handled_in_parts(monkeypatch):
+    """Hashes, counts and ids of a text longer than what is handled at once are those of the whole."""
+    text = "\n".join(passages()) + " " + "y" * 3000 + " é中 " + "don't stop  now "
+    b = pa.record_batch([pa.array([1, 2]), pa.array([text, "short one"])], ["doc_id", "text"])
+    whole = [(w.hashes(), textstats.stats(w)) for w in words.chunks(b)]
+    monkeypatch.setattr(words, "CHUNK", 1000)
+    parts = [(w.hashes(), textstats.stats(w)) for w in words.chunks(b)]
+    assert len(whole) == 1 and len(parts) == 2 and (np.concatenate([h for h, _ in parts]) == whole[0][0]).all()
+    assert all((np.concatenate([s[k] for _, s in parts]) == v).all() for k, v in whole[0][1].items())
+    monkeypatch.setattr(encoder, "SLICE", 700)
+    monkeypatch.setattr(bpe, "SLICE", 700)
+    monkeypatch.setattr(bpe, "IDS_AT_ONCE", 100)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        own, library = bpe.PrefixBpe(path_of(name)), Tokenizer.from_file(path_of(name))
+        ids = library.encode(text, add_special_tokens=False).ids
+        raw = np.array(ids, np.uint32).tobytes()
+        assert own.encode(text) == raw == Encoder(path_of(name)).many(["a b", text, None])[1]
+        assert own.decode(raw) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_memory_of_pieces_is_bounded(monkeypatch):
+    monkeypatch.setattr(encoder, "LETTERS_HELD", 500)
+    monkeypatch.setattr(bpe, "REMEMBERED_LETTERS", 500)
+    e, p = Encoder(path_of("word_bpe_49k.json")), bpe.PrefixBpe(path_of("word_bpe_49k.json"))
+    for i in range(20):
+        text = " ".join(f"{'q' * 50}{i}{k}" for k in range(5))
+        assert e.many([text])[0] == p.encode(text)
+    assert sum(map(len, e.known)) <= 600 and sum(map(len, p.known)) <= 1100
+
+
 def components_by_force(rows):
     sets = {}
     for i, t in rows:
@@ -188,6 +246,9 @@ def test_minhash(docs, empty, rows, monkeypatch, task_docs):
     monkeypatch.setattr(minhash, "TASK_DOCS", task_docs)
     if not task_docs:
         monkeypatch.setattr(minhash, "LEADERS", 5)
+        monkeypatch.setattr(minhash, "LOCAL", 2)
+        monkeypatch.setattr(graph, "ONE_TASK", -1)
+        monkeypatch.setattr(minhash, "HOT_SHARE", 0)
     want = components_by_force(rows)
     assert sum(not x[2] for x in want.values()) > 8
     assert {r[0]: tuple(r[1:]) for r in minhash.near_duplicates(docs).collect()} == want
@@ -195,6 +256,48 @@ def test_minhash(docs, empty, rows, monkeypatch, task_docs):
         assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_of_repeated_ids(spark):
+    """Equal ids with other texts: links hold between ids; rows are judged one by one where rows go."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    df = spark.createDataFrame([(1, a, 0), (5, a, 1), (5, b, 2), (7, b, 3), (7, a.upper(), 4), (9, c, 5), (9, c, 6), (4, None, 7), (4, None, 8), (None, c, 9), (3, b + " more", 10)], "doc_id long, text string, least int")
+    got = sorted(((r.doc_id or -1), r.component_id or -1, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(-1, -1, True), (1, 1, True), (3, 1, False), (4, 4, True), (4, 4, True), (5, 1, False), (5, 1, False), (7, 1, False), (7, 1, False), (9, 9, True), (9, 9, True)]
+    rows = minhash.without_duplicates(df)
+    assert rows.columns == df.columns
+    kept = [r.least for r in rows.orderBy("least").collect()]
+    assert [x for x in kept if x not in (5, 6)] == [0, 7, 8, 9, 10] and len(kept) == 6
+    small = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b)], "doc_id long, text string")
+    assert sorted(map(tuple, minhash.without_duplicates(small).collect())) == [(1, a), (5, b)]
+
+
+def test_documents_a_little_alike_make_no_cluster(spark):
+    """Of 400 documents at a similarity of 0.3 to one another no chain of candidates makes a large cluster."""
+    same = [f"s{i}" for i in range(60)]
+    texts = [" ".join([*same, *[f"d{k}_{i}" for i in range(64)]]) for k in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    heads = minhash.signed(df).withColumn("node", F.col("doc_id"))
+    links = minhash.candidate_links(heads, 64)
+    sizes = [r["count"] for r in graph.components(links).groupBy("component").count().collect()] if not links.isEmpty() else []
+    assert max(sizes, default=1) < 20
+    assert minhash.near_duplicates(df).where("kept").count() == 400
+
+
+def test_sketches_of_links_agree():
+    """Of sets at the threshold nearly all sketches agree enough, of sets far from it nearly none."""
+    rng = np.random.default_rng(13)
+    share = {}
+    for j in (0.75, 0.3):
+        value = []
+        for _ in range(300):
+            union = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            both, one = int(400 * j), (400 - int(400 * j)) // 2
+            value += [np.sort(union[: both + one]), np.sort(np.r_[union[:both], union[both + one :]])]
+        first = np.r_[0, np.cumsum([len(v) for v in value])]
+        sketch = minhash.signatures(np.concatenate(value), first)[1].view(np.uint64)
+        share[j] = (minhash.agreement(sketch[::2], sketch[1::2]) >= minhash.MEET).mean()
+    assert share[0.75] == 1 and share[0.3] < 0.02
+
+
 @pytest.mark.parametrize("one_task", [500_000, -1])
 def test_components(spark, monkeypatch, one_task):
     monkeypatch.setattr(graph, "ONE_TASK", one_task)
@@ -392,8 +495,6 @@ def test_pseudo_likelihood(spark, docs, empty, rows):
 
 def test_words_of_a_class_are_told_apart(spark):
     """Of two words of one class in equal places, one 40 times and one once, the scores differ by log 40."""
-    from traceloom.llm.words import words_of
-
     names = " ".join(f"x{i}" for i in range(2000))
     w = words_of(np.frombuffer(names.encode(), np.uint8), np.array([0]), np.array([0, len(names)]))
     c = pseudo_likelihood.class_of(w.hashes())

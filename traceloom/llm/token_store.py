@@ -10,7 +10,9 @@ index and reads that block alone. Layout of a file, little endian throughout:
     filter   bits, 10 for each key, 7 probes
     footer   u64 place of index, of filter, of footer; u64 documents; u64 ids; u32 bytes for an id; 8 bytes magic
 
-Documents with null text hold the end id alone; equal ids lie side by side, ordered by text; null ids come first.
+Documents with null or empty text hold the end id alone; equal ids lie side by side, ordered by text, and so do repeated rows; null
+ids come first. A very long text is one entry of a block of its own size. An empty table makes no shard. Columns other than doc_id
+and text are never read. The manifest has each shard's first and last id, so a lookup opens those shards alone that may hold one.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from .shared import record_batches, scratch, texts, written
 MAGIC = b"TLSST001"
 BLOCK, SHARD, BITS, PROBES = 64_000, 64_000_000, 10, 7
 _ENTRY, _INDEX, _FOOTER = struct.Struct("<BBI"), struct.Struct("<9sQIQ"), struct.Struct("<QQQQQI8s")
-MANIFEST = "part long, shard long, path string, n_docs long, n_ids long"
-_MANIFEST = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+MANIFEST = "part long, shard long, path string, n_docs long, n_ids long, first_id long, last_id long"
+_MANIFEST = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -165,7 +167,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.jso
                     for doc, ids in zip(some.column("doc_id").to_pylist(), enc.many(some.column("text").to_pylist()), strict=True):
                         if out is not None and out.place >= SHARD and doc != last:
                             out.close()
-                            yield part, k, path, len(out.keys), out.n_ids
+                            yield part, k, path, len(out.keys), out.n_ids, id_of(out.keys[0]), id_of(out.keys[-1])
                             k, out = k + 1, None
                         if out is None:
                             out = ShardWriter(path := f"{folder}/shard-{part:06d}-{k:04d}.sst", width)
@@ -173,7 +175,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.jso
                         last = doc
             if out is not None:
                 out.close()
-                yield part, k, path, len(out.keys), out.n_ids
+                yield part, k, path, len(out.keys), out.n_ids, id_of(out.keys[0]), id_of(out.keys[-1])
 
         return record_batches(shards(), _MANIFEST)
 
@@ -206,23 +208,32 @@ def read_store(manifest: DataFrame, digest: bool = False) -> DataFrame:
     return manifest.select("path", "start").repartition(n).mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
-def lookup(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
-    """doc_id and ids of given documents, by filter, index and one block each."""
-    wanted = sorted(set(doc_ids))
+def shards_with(manifest: DataFrame, doc_ids: list[int | None]) -> DataFrame:
+    """path and wanted: the shards whose range of ids has any of the given ones, and which. Null ids are before all others."""
+    spark = manifest.sparkSession
+    ids = spark.createDataFrame([(i,) for i in sorted({x for x in doc_ids if x is not None})] + [(None,)] * (None in doc_ids), "id long")
+    # The ranges are few, a row for each shard, and in order: each id is held against those that begin before it and end after it.
+    own = manifest.select("path", "first_id", "last_id")
+    here = (ids.id >= F.coalesce(own.first_id, F.lit(-(1 << 63)))) & (ids.id <= own.last_id) | ids.id.isNull() & own.first_id.isNull()
+    return ids.join(F.broadcast(own), here).groupBy("path").agg(F.collect_list(F.struct("id")).alias("wanted"))
+
+
+def lookup(manifest: DataFrame, doc_ids: list[int | None]) -> DataFrame:
+    """doc_id and ids of given documents, by range, filter, index and one block each."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for path in b.column("path").to_pylist():
+                for path, wanted in zip(b.column("path").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                     shard = Shard(path)
                     for doc in wanted:
-                        for ids in shard.get(doc):
-                            yield doc, ids.astype("<u4").tobytes()
+                        for ids in shard.get(doc["id"]):
+                            yield doc["id"], ids.astype("<u4").tobytes()
 
         return record_batches(rows(), schema)
 
-    return manifest.select("path").mapInArrow(run, "doc_id long, ids binary")
+    return shards_with(manifest, doc_ids).mapInArrow(run, "doc_id long, ids binary")
 
 
 def store_folder(docs: DataFrame) -> str:

@@ -8,16 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.llm import host_rules, minhash, packing, substring_dedup, toxicity
-from traceloom.llm.shared import crc_of_id, scratch, written
+from traceloom.llm.shared import crc_of_id, dropped, free_names, scratch, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def without_rejected(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not among rejected; rows without id stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -26,20 +21,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules, or a rule on a host of bad verdict, go."""
-    return without_rejected(docs, host_rules.apply_rules(docs).where("not kept"))
+    return host_rules.without_failed(docs)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return without_rejected(docs, minhash.near_duplicates(docs).where("not kept"))
+    return minhash.without_duplicates(docs)
 
 
 def repeated_passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out of the text."""
-    out = substring_dedup.remove_repeats(docs)
-    changed = F.col("n_removed_") > 0
+    """Passages that an earlier document has are cut out of the text; n_chars, where there is one, follows."""
+    counts = tuple(free_names(docs.columns, "n_words", "n_removed"))
+    out = substring_dedup.remove_repeats(docs, counts=counts)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(counts[1]) > 0, length).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
@@ -56,12 +52,15 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing_stage),
 ]
 
-#: No SQL for a trained model, a tokenizer or components; tests hold the stages against brute force.
+#: No SQL for a trained model, a tokenizer or components; tests hold each stage on its own input against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), scratch(spark, "pipeline"))
+        docs = written(stage(spark, docs, sf_dir), path := scratch(spark, "pipeline"))
+        if before is not None:
+            dropped(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,8 +4,13 @@ Tokens are labelled from labelled documents: a word whose document frequency amo
 among clean ones is a toxic token where it stands in a toxic document. The field (two tags, features of a word and its
 neighbours, tag transitions) is fitted by gradient steps on windows of those tokens. Forward-backward marginals give each
 token's probability; a document's score is a logistic function of their sum and maximum, fitted on the same documents,
-and tokens at SPAN or above are offending spans with byte offsets. Only the text counts. Null and empty texts get the
-score of a text without toxic tokens; without labels of both kinds every score is the mean label, or 0.
+and tokens at SPAN or above are offending spans with byte offsets. A word is known by a 64-bit hash; words that the windows
+don't have weigh nothing.
+
+Only the text counts: rows with equal or null ids, repeated rows and extra columns of any name are scored each for itself, and a
+labelled id counts once, with one of its texts. Null and empty texts get the score of a text without toxic tokens. Very long texts
+are scored whole. A score that equals CUT_SCORE is a toxic one. Without labels of both kinds every score is the mean label, or 0.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,32 +23,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_of_id, texts
+from .shared import crc_of_id, dropped, scratch, texts, written
 from .textstats import MARKS
-from .words import Words, chunks, mix
+from .words import Words, chunks
 
-#: Labelled documents of each kind that the fit takes at most; hashed features; fit; thresholds.
-MAX_LABELLED, BITS, WINDOW, STEPS, RIDGE, SPAN, FLOOR, CUT_SCORE = 3000, 18, 16, 80, 1e-4, 0.5, 0.2, 0.3
-_PREVIOUS, _NEXT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+#: Labelled documents of each kind that the fit takes at most, and their words in all; windows of each document that the field is
+#: fitted on, and their words; fit; thresholds.
+MAX_LABELLED, MAX_WORDS, WINDOWS, WINDOW, STEPS, RIDGE, SPAN, FLOOR, CUT_SCORE = 3000, 4_000_000, 5, 16, 80, 1e-4, 0.5, 0.2, 0.3
 
 
-def token_ids(w: Words) -> np.ndarray:
-    """A feature number of each word: letters A-Z lower-cased, ASCII marks at both ends dropped."""
+def token_hashes(w: Words) -> np.ndarray:
+    """A hash of each word: letters A-Z lower-cased, up to four ASCII marks at both ends dropped."""
     starts, ends, data = w.starts.copy(), w.ends.copy(), w.data
     for _ in range(4):
         ends -= (ends - starts > 1) & MARKS[data[ends - 1]]
         starts += (ends - starts > 1) & MARKS[data[starts]]
     low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    return (w.hashes(low, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
+    return w.hashes(low, starts, ends)
 
 
 class Field:
-    """Weights of the field: word, word before, word after (for the toxic tag against the clean one), and transitions."""
+    """Weights of the field for known words: word, word before, word after (for the toxic tag against the clean one); transitions.
+
+    The last weight of each is that of unknown words, 0.
+    """
 
-    def __init__(self) -> None:
-        self.word, self.before, self.after = (np.zeros(1 << BITS) for _ in range(3))
+    def __init__(self, words: np.ndarray | None = None) -> None:
+        self.words = np.zeros(0, np.uint64) if words is None else words
+        self.word, self.before, self.after = (np.zeros(len(self.words) + 1) for _ in range(3))
         self.bias, self.trans = 0.0, np.zeros((2, 2))
 
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word among the known ones; that of unknown words is how many there are."""
+        if not len(self.words):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[at] == h, at, len(self.words))
+
     def emissions(self, t: np.ndarray, first: np.ndarray) -> np.ndarray:
         e = self.word[t] + self.bias
         e[1:] += self.before[t[:-1]]
@@ -54,6 +70,10 @@ class Field:
         e[inner - 1] -= self.after[t[inner]]
         return np.clip(e, -25, 25)
 
+    def probabilities(self, w: Words) -> np.ndarray:
+        """The probability of the toxic tag for each word."""
+        return marginals(self.emissions(self.numbers(token_hashes(w)), w.first), self.trans, w.first)
+
 
 def chain(emit: np.ndarray, trans: np.ndarray, heads: np.ndarray, block: int = 256) -> np.ndarray:
     """Normalised forward messages (n, 2) of a two-tag chain; heads marks tokens that start a document.
@@ -108,34 +128,35 @@ def marginals(emit: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndar
     return toxic / (clean + toxic)
 
 
-def label_tokens(docs: list[np.ndarray], y: np.ndarray) -> set[int]:
-    """Words that mark toxic documents: smoothed log-odds of document frequency over 2 with three toxic documents at least."""
-    seen = np.zeros((2, 1 << BITS))
+def label_tokens(docs: list[np.ndarray], y: np.ndarray, n_words: int) -> np.ndarray:
+    """Which words mark toxic documents: smoothed log-odds of document frequency over 2 with three toxic documents at least."""
+    seen = np.zeros((2, n_words))
     for t, k in zip(docs, y, strict=True):
         seen[int(k), np.unique(t)] += 1
     n = np.bincount(y.astype(int), minlength=2)
     odds = np.log((seen[1] + 0.5) / (n[1] - seen[1] + 0.5)) - np.log((seen[0] + 0.5) / (n[0] - seen[0] + 0.5))
     spread = np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
-    return set(np.flatnonzero((seen[1] >= 3) & (odds > 2) & (odds / spread > 2.5)).tolist())
+    return (seen[1] >= 3) & (odds > 2) & (odds / spread > 2.5)
 
 
-def fit_field(docs: list[np.ndarray], y: np.ndarray, seed: int = 3) -> Field:
-    field, rng = Field(), np.random.default_rng(seed)
-    toxic = np.zeros(1 << BITS, bool)
-    toxic[list(label_tokens(docs, y))] = True
-    pad, rows, tags = 1 << BITS, [], []
+def fit_field(given: list[np.ndarray], y: np.ndarray, seed: int = 3) -> Field:
+    """The field of documents given as word hashes."""
+    words, number = np.unique(np.concatenate(given), return_inverse=True)
+    docs = np.split(number, np.cumsum([len(t) for t in given])[:-1])
+    field, rng, pad = Field(words), np.random.default_rng(seed), len(words)
+    toxic, rows, tags = label_tokens(docs, y, pad), [], []
     for t, k in zip(docs, y, strict=True):
         if not len(t):
             continue
         own = toxic[t] & bool(k)
-        at = rng.permutation(np.flatnonzero(own))[:5] if own.any() else rng.integers(0, len(t), 5)
+        at = rng.permutation(np.flatnonzero(own))[:WINDOWS] if own.any() else rng.integers(0, len(t), WINDOWS)
         for c in np.unique(np.maximum(0, at - rng.integers(0, WINDOW, len(at)))):
             some = t[c : c + WINDOW]
             before, after = (t[c - 1] if c else pad), (t[c + WINDOW] if c + WINDOW < len(t) else pad)
             rows.append(np.r_[before, some, np.full(WINDOW - len(some), pad), after if len(some) == WINDOW else pad])
             tags.append(np.r_[own[c : c + WINDOW], np.zeros(WINDOW - len(some), bool)])
     if not rows:
-        return field
+        return Field()
     t, tag = np.array(rows), np.array(tags).astype(float)
     real = t[:, 1:-1] < pad
     w = [np.zeros(pad + 1) for _ in range(3)]
@@ -179,7 +200,8 @@ def fit_field(docs: list[np.ndarray], y: np.ndarray, seed: int = 3) -> Field:
         g2t += gt * gt
         field.bias -= 0.2 * gb / np.sqrt(g2b)
         field.trans -= 0.2 * gt / np.sqrt(g2t)
-    field.word, field.before, field.after = (x[:pad] for x in w)
+    used = np.unique(t[t < pad])
+    field.words, (field.word, field.before, field.after) = words[used], (np.r_[x[used], 0.0] for x in w)
     return field
 
 
@@ -218,43 +240,70 @@ def fit(docs: DataFrame, known: DataFrame) -> tuple[Field, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [token_ids(w)[w.first[i] : w.first[i + 1]].astype(np.uint32).tobytes() for w in chunks(b) for i in range(len(w.ids))]
+            parts = [token_hashes(w)[w.first[i] : w.first[i + 1]].tobytes() for w in chunks(b) for i in range(len(w.ids))]
             if parts:
                 yield pa.record_batch([b.column("doc_id"), b.column("y").cast(pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "y", "t"])
 
-    rows = sorted(chosen.mapInArrow(run, "doc_id long, y int, t binary").collect())
+    once = chosen.mapInArrow(run, "doc_id long, y int, t binary").groupBy("doc_id", "y").agg(F.min("t").alias("t"))
+    own = written(once, path := scratch(docs.sparkSession, "labelled"))
+    taken, words = [], 0
+    for r in own.select("doc_id", "y", (F.octet_length("t") / 8).cast("long").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").collect():
+        if words + r.n <= MAX_WORDS:
+            taken.append((r.doc_id, r.y))
+            words += r.n
+    # At most MAX_WORDS words of at most 2 * MAX_LABELLED documents.
+    rows = sorted(own.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, y int")), ["doc_id", "y"]).collect()) if taken else []
+    dropped(docs.sparkSession, path)
     y = np.array([r.y for r in rows], float)
     if not len(rows) or y.min() == y.max():
         mean = float(y.mean()) if len(rows) else 0.0
         return Field(), np.array([0.0, 0.0, np.log((mean + 1e-9) / (1 - mean + 1e-9))])
-    tokens = [np.frombuffer(r.t, np.uint32).astype(np.int64) for r in rows]
+    tokens = [np.frombuffer(r.t, np.uint64) for r in rows]
     field = fit_field(tokens, y)
     first = np.r_[0, np.cumsum([len(t) for t in tokens])]
-    t = np.concatenate(tokens)
+    t = field.numbers(np.concatenate(tokens))
     x = summary(marginals(field.emissions(t, first), field.trans, first), first)
-    taken = np.bincount(y.astype(int), minlength=2)
-    weight = np.where(y == 1, counts.get(1, 0) / taken[1], counts.get(0, 0) / taken[0])  # kinds as frequent as among all labels
+    n = np.bincount(y.astype(int), minlength=2)
+    weight = np.where(y == 1, counts.get(1, 0) / n[1], counts.get(0, 0) / n[0])  # kinds as frequent as among all labels
     return field, fit_logistic(x, y, weight)
 
 
+def learned(docs: DataFrame, labels: DataFrame, held_out: Column, label: str) -> tuple[Field, np.ndarray]:
+    """fit on the labels that aren't held out."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held_out & F.col("y").isin(0, 1)).distinct()
+    return fit(texts(docs), known)
+
+
+def scorer(docs: DataFrame, labels: DataFrame, held_out: Column, label: str):
+    """A function for executors: of the words of some documents their scores, and the probability of each word."""
+    field, weights = learned(docs, labels, held_out, label)
+    # The words of at most WINDOWS windows of at most 2 * MAX_LABELLED documents.
+    shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps((field, weights)))
+
+    def load():
+        f, of = pickle.loads(shipped.value)
+
+        def run(w: Words) -> tuple[np.ndarray, np.ndarray]:
+            p = f.probabilities(w)
+            return 1 / (1 + np.exp(-np.clip(np.c_[summary(p, w.first), np.ones(len(w.ids))] @ of, -30, 30))), p
+
+        return run
+
+    return load
+
+
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", spans: bool = True) -> DataFrame:
     """doc_id, held_out, score, n_toxic (tokens at SPAN or above) and, with spans, their byte offsets for every document."""
-    own = texts(docs)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held_out & F.col("y").isin(0, 1))
-    field, weights = fit(own, known)
-    # The model has a fixed size, 3 * 2**BITS numbers.
-    shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps((field.word.astype(np.float32), field.before.astype(np.float32), field.after.astype(np.float32), field.bias, field.trans)))
+    load = scorer(docs, labels, held_out, label)
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Field()
-        f.word, f.before, f.after, f.bias, f.trans = pickle.loads(shipped.value)
+        judge = load()
         for b in batches:
             scores, n_toxic, found = [], [], []
             for w in chunks(b):
-                t = token_ids(w)
-                p = marginals(f.emissions(t, w.first), f.trans, w.first)
-                scores.append(1 / (1 + np.exp(-np.clip(np.c_[summary(p, w.first), np.ones(len(w.ids))] @ weights, -30, 30))))
+                own, p = judge(w)
+                scores.append(own)
                 hit = np.flatnonzero(p >= SPAN)
                 bounds = np.searchsorted(hit, w.first)
                 n_toxic.append(np.diff(bounds))
@@ -266,24 +315,21 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "to
                 columns = [b.column("doc_id"), pa.array(np.concatenate(scores)), pa.array(np.concatenate(n_toxic).astype(np.int64))]
                 yield pa.record_batch(columns + [pa.array(found, kind)] * spans, ["doc_id", "score", "n_toxic"] + ["spans"] * spans)
 
-    out = own.mapInArrow(run, "doc_id long, score double, n_toxic long" + ", spans array<struct<begin:long,end:long>>" * spans)
+    out = texts(docs).mapInArrow(run, "doc_id long, score double, n_toxic long" + ", spans array<struct<begin:long,end:long>>" * spans)
     return out.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic") -> DataFrame:
     """Rows of docs, unchanged, whose text scores below CUT_SCORE."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held_out & F.col("y").isin(0, 1))
-    field, weights = fit(texts(docs), known)
-    shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps((field.word.astype(np.float32), field.before.astype(np.float32), field.after.astype(np.float32), field.bias, field.trans)))
+    load = scorer(docs, labels, held_out, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Field()
-        f.word, f.before, f.after, f.bias, f.trans = pickle.loads(shipped.value)
+        judge = load()
         for b in batches:
             own = pa.record_batch([pa.array(np.zeros(b.num_rows, np.int64)), b.column("text").cast(pa.string())], ["doc_id", "text"])
-            parts = [np.c_[summary(marginals(f.emissions(t := token_ids(w), w.first), f.trans, w.first), w.first), np.ones(len(w.ids))] @ weights for w in chunks(own)]
+            parts = [judge(w)[0] for w in chunks(own)]
             if parts:
-                yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(parts), -30, 30))) < CUT_SCORE))
+                yield b.filter(pa.array(np.concatenate(parts) < CUT_SCORE))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -11,8 +11,10 @@ the block's threshold graph stand for all of them. Components of these are compa
 full. The recall of links is audited on all ids divisible by ASKED against all vectors; below AUDIT the search is repeated
 with more tables, and after TRIES of them every label is compared whole.
 
-Only vectors with equal, non-null labels (and equal lengths) are compared, by cosine in double precision. Vectors that are
-null, empty, zero or hold null or non-finite components link with nothing. Repeated ids are rows of their own.
+Only vectors with equal, non-null labels (and equal lengths) are compared, by cosine in double precision; a cosine that equals the
+threshold is a link. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and neither do rows
+without id. Vectors travel in the precision that the table has. Repeated ids are rows of their own; of equal vectors one goes on, with
+their number. An empty table gives no rows, and columns other than vec_id, label and embedding are never read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import components
 from .shared import FLUSH, PACKED, PACKED_SQL, bucket_of, buckets, by_bucket, dealt, dropped, joined, packed_rows, record_batches, scratch, written
@@ -36,16 +39,34 @@ SQUARE = 1000
 #: The audit asks ids divisible by ASKED; the recall it asks for, tries, rounds of each, and the share of changed entries that ends them.
 ASKED, AUDIT, TRIES, ROUNDS, CHANGED = 50, 0.98, 3, 4, 0.01
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float64())])
-ENTRY, WHOLE = 1, 2
+#: Kinds of packed rows: entries of a key, or of a label that is compared whole; and those of either with components of four bytes.
+ENTRY, WHOLE, SINGLE = 1, 2, 4
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    v = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def packed_vector(v: np.ndarray) -> bytes:
+    """A vector as bytes: one that tells the bytes of a component, then the components."""
+    return bytes([v.itemsize]) + v.tobytes()
+
+
+def matrix(raw: list[bytes]) -> np.ndarray:
+    """Packed vectors of one length and precision."""
+    return np.frombuffer(b"".join([r[1:] for r in raw]), f"f{raw[0][0]}").reshape(len(raw), -1)
+
+
+def normal(v: np.ndarray) -> np.ndarray:
+    """Vectors of any precision as unit vectors in double precision."""
+    v = v.astype(np.float64)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def unit(raw: list[bytes]) -> np.ndarray:
+    return normal(matrix(raw))
+
+
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, label and raw (doubles; null if the vector can't link) of every row."""
+    """vec_id, label and raw (packed; null if the vector can't link) of every row."""
+    column = vectors.schema["embedding"].dataType.elementType
+    kind = np.dtype("f4") if isinstance(column, T.FloatType) else np.dtype("f8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -53,10 +74,10 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
             for e, label in zip(b.column("embedding").to_pylist(), b.column("label").to_pylist(), strict=True):
                 v = np.array(e, np.float64) if e and label is not None and None not in e else np.zeros(0)
                 norm = np.linalg.norm(v) if len(v) else 0.0
-                raw.append((v + 0.0).tobytes() if np.isfinite(norm) and norm > 0 else None)
+                raw.append(packed_vector((v + 0.0).astype(kind)) if np.isfinite(norm) and norm > 0 else None)
             yield pa.record_batch([b.column("vec_id"), b.column("label"), pa.array(raw, pa.binary())], ["vec_id", "label", "raw"])
 
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, label string, raw binary")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.when(F.col("vec_id").isNotNull(), F.col("embedding").cast("array<double>")).alias("embedding")).mapInArrow(run, "vec_id long, label string, raw binary")
 
 
 def stars(left: np.ndarray, right: np.ndarray, hit: np.ndarray) -> np.ndarray:
@@ -100,12 +121,12 @@ def best_in(ids: np.ndarray, v: np.ndarray, others: np.ndarray | None = None, w:
 
 
 def same_size(b: pa.RecordBatch) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(size, whether whole, ids, unit vectors, groups, blocks) of a batch's vectors of one length that are compared alike."""
+    """(bytes of a vector, whether whole, ids, vectors, groups, blocks) of a batch's vectors of one length that are compared alike."""
     raw, ids, group, blocks = b.column("raw").to_pylist(), b.column("id").to_numpy(), b.column("group").to_numpy(), b.column("blocks").to_numpy()
     kind = np.array([2 * len(r) for r in raw], np.int64) + (blocks > 0)
     for k in np.unique(kind):
         at = np.flatnonzero(kind == k)
-        yield int(k) // 16, bool(k % 2), ids[at], unit([raw[i] for i in at]), group[at].view(np.uint64), blocks[at]
+        yield int(k) // 2, bool(k % 2), ids[at], matrix([raw[i] for i in at]), group[at].view(np.uint64), blocks[at]
 
 
 def table_keys(v: np.ndarray, group: np.ndarray, size: int, t: int, bits: int, seed: int) -> np.ndarray:
@@ -124,7 +145,7 @@ def key_counts(reps: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
         for b in batches:
             for size, _, _, v, group, _ in same_size(b):
                 for t in range(tables):
-                    key, first, n = np.unique(table_keys(v, group, size, t, bits, seed), return_index=True, return_counts=True)
+                    key, first, n = np.unique(table_keys(normal(v), group, size, t, bits, seed), return_index=True, return_counts=True)
                     yield pa.record_batch([pa.array(group[first].view(np.int64)), pa.array(key.view(np.int64)), pa.array(n)], ["group", "key", "n"])
 
     return reps.mapInArrow(run, "group long, key long, n long").groupBy("group", "key").agg(F.sum("n").alias("n"))
@@ -143,15 +164,16 @@ def table_rows(batches: Iterator[pa.RecordBatch], n: int, tables: int, bits: int
     """
     for b in batches:
         for size, whole, own, v, group, blocks in same_size(b):
+            u = normal(v)
             for t in range(1 if whole else tables):
-                key = table_keys(v, group, size, t, 0 if whole else bits, seed)
+                key = table_keys(u, group, size, t, 0 if whole else bits, seed)
                 if not whole:
                     blocks = np.ones(len(key), np.int64)
                     if len(hot):
                         at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                         blocks = np.where(hot[at] == key, hot_blocks[at], 1)
                 mine = (mix(own.view(np.uint64) + np.uint64(seed)) % blocks.astype(np.uint64)).astype(np.int64)
-                kind = WHOLE if whole else ENTRY
+                kind = (WHOLE if whole else ENTRY) + (SINGLE if v.itemsize == 4 else 0)
                 for j in range(int(blocks.max())):
                     at = np.flatnonzero(blocks > j)
                     x, y = np.minimum(mine[at], j), np.maximum(mine[at], j)
@@ -167,11 +189,11 @@ def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges among the vectors of each table key, or of each pair of its blocks."""
     parts, size = [], 0
     for _, rows in by_bucket(batches):
-        for kind in (ENTRY, WHOLE):
-            own = [r for r in rows if r[1] == kind]
+        for kind in sorted({r[1] for r in rows}):
+            own, lists = [r for r in rows if r[1] == kind], kind % SINGLE == ENTRY
             if own:
                 key, ids, side = joined(own, 2, np.uint64), joined(own, 3, np.int64), joined(own, 5, np.int8)
-                v = [x for r in own for x in np.frombuffer(r[4], np.float64).reshape(len(r[2]) // 8, -1)]
+                v = [x for r in own for x in np.frombuffer(r[4], np.float32 if kind >= SINGLE else np.float64).reshape(len(r[2]) // 8, -1)]
                 order = np.lexsort((side, key))
                 k = key[order]
                 fresh = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
@@ -179,11 +201,11 @@ def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if j - i > 1:
                         at = order[i:j]
                         if side[at[0]] < 2:
-                            new = [best_in(ids[at], np.array([v[x] for x in at]), lists=kind == ENTRY)]
+                            new = [best_in(ids[at], normal(np.array([v[x] for x in at])), lists=lists)]
                         else:
                             a, b = at[side[at] == 2], at[side[at] == 3]
-                            p, q = (np.array([v[x] for x in z]) for z in (a, b))
-                            new = [best_in(ids[a], p, ids[b], q, kind == ENTRY), best_in(ids[b], q, ids[a], p)] if len(a) and len(b) and kind == ENTRY else [best_in(ids[a], p, ids[b], q, False)] if len(a) and len(b) else []
+                            p, q = (normal(np.array([v[x] for x in z])) if len(z) else None for z in (a, b))
+                            new = [] if p is None or q is None else [best_in(ids[a], p, ids[b], q, lists)] + ([best_in(ids[b], q, ids[a], p)] if lists else [])
                         parts += new
                         size += sum(map(len, new))
                 if size > FLUSH // 8:
@@ -251,30 +273,32 @@ def found_links(reps: DataFrame, tables: int, bits: int, seed: int) -> DataFrame
     links: list[DataFrame] = []
     grouped = reps.select("id", "raw", F.xxhash64("label", F.length("raw")).alias("group"))
     if bits:
-        counts = written(key_counts(grouped.withColumn("blocks", F.lit(0).cast("long")), tables, bits, seed), scratch(spark, "keys"))
-        whole = written(whole_groups(counts, tables), scratch(spark, "keys"))
+        counts = written(key_counts(grouped.withColumn("blocks", F.lit(0).cast("long")), tables, bits, seed), counts_path := scratch(spark, "keys"))
+        whole = written(whole_groups(counts, tables), whole_path := scratch(spark, "keys"))
         over = counts.where(F.col("n") > SQUARE).join(whole, "group", "left_anti").select("key", F.ceil(F.col("n") / SQUARE).alias("blocks")).toArrow()
+        dropped(spark, counts_path)
     else:
-        whole, over = written(grouped.groupBy("group").agg(F.ceil(F.count("*") / SQUARE).cast("long").alias("blocks")), scratch(spark, "keys")), None
+        whole, over = written(grouped.groupBy("group").agg(F.ceil(F.count("*") / SQUARE).cast("long").alias("blocks")), whole_path := scratch(spark, "keys")), None
     hot, blocks = (over.column(c).to_numpy().astype(np.int64) for c in ("key", "blocks")) if over is not None else (np.zeros(0, np.int64),) * 2
     order = np.argsort(hot.view(np.uint64))
     hot, blocks = hot.view(np.uint64)[order], blocks[order]
     planned = grouped.join(whole, "group", "left").select("id", "raw", "group", F.coalesce("blocks", F.lit(0).cast("long")).alias("blocks"))
     packed = planned.mapInArrow(lambda it: record_batches(table_rows(it, n, tables, bits, seed, hot, blocks), PACKED), PACKED_SQL)
     found, path = kept(dealt(packed, n).mapInArrow(lists_of, "u long, v long, s double"))
-    lists = written(shortened(found), scratch(spark, "neighbours"))
-    dropped(spark, path)
+    lists = written(shortened(found), lists_path := scratch(spark, "neighbours"))
+    dropped(spark, path, whole_path)
     for _ in range(ROUNDS):
         size = lists.count()
         if not size:
             break
         found, path = kept(joined_neighbours(lists, reps))
-        fresh = written(shortened(lists.unionByName(found)), scratch(spark, "neighbours"))
-        dropped(spark, path)
+        fresh = written(shortened(lists.unionByName(found)), fresh_path := scratch(spark, "neighbours"))
         changed = fresh.join(lists, ["u", "v"], "left_anti").count()
-        lists = fresh
+        dropped(spark, path, lists_path)
+        lists, lists_path = fresh, fresh_path
         if changed <= CHANGED * size:
             break
+    dropped(spark, lists_path)
     return reduce(DataFrame.unionByName, links)
 
 
@@ -356,7 +380,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     spark = vectors.sparkSession
     own = written(valid_vectors(vectors), scratch(spark, "vectors"))
-    some = own.where(F.col("raw").isNotNull() & F.col("vec_id").isNotNull())
+    some = own.where("raw is not null")
     classes = written(some.groupBy("label", "raw").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.bool_or(F.col("vec_id") % ASKED == 0).alias("asked")), scratch(spark, "vectors"))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits = max(4, min(24, round(math.log2(max(1, most) / 8))))

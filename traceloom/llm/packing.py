@@ -3,7 +3,9 @@
 Pass one encodes every text and writes its ids with its place inside its partition; pass two turns the partitions' token
 totals into global offsets by a prefix sum (one row for each partition) and cuts every document at the window borders.
 No document moves between executors. Only the last sequence is shorter than the window, so there is next to no padding.
-Null and empty texts are the end id alone; repeated rows are packed as often as they occur; an empty table gives no pieces.
+Null and empty texts are the end id alone; repeated rows and rows with equal or null ids are packed as often as they occur, in the
+order in which they are read; a very long text spans as many sequences as it needs; an empty table gives no pieces; columns other
+than doc_id and text are never read.
 """
 
 from __future__ import annotations

@@ -5,13 +5,19 @@ mapped to a softmax over the vocabulary, which has the most frequent words of th
 others. Word counts are summed over all documents and stay a distributed table: a word of a hash class has the probability of
 its class, by the network, times its share of the class's occurrences, of which unknown words have a part. Training runs on every partition at once: each takes minibatch steps
 from the common weights over its own documents (a round has one in ROUNDS places of every document as targets, so that after
-all of them each place has been one), and the weights are averaged by the number of targets, in two levels, so the driver gets a bounded number of them. A document's
-score is the sum of the conditional log-probabilities of all its words, and their mean. Null and empty texts score 0.
+all of them each place has been one), and the weights are averaged by the number of targets, in two levels, so the driver gets
+a bounded number of them. A document's score is the sum of the conditional log-probabilities of all its words, and their mean.
+
+The network depends on how documents are dealt over partitions and in which order these hold them: a document keeps its score on
+the same files and settings, and on others it differs a little. Null, empty and blank texts score 0. Repeated rows and rows with
+equal or null ids are scored each for itself; of words that occur equally often that with the lesser hash is the more frequent one.
+A very long text is scored whole. An empty table gives no rows; columns other than doc_id and text are never read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -263,13 +269,27 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([ids, pa.array(words), pa.array(s), pa.array(s / np.maximum(1, words))], ["doc_id", "n_words", "log_likelihood", "mean_log_probability"])
 
 
-def score(docs: DataFrame, block: int = 16_384) -> DataFrame:
-    """doc_id, n_words, log_likelihood (sum) and mean_log_probability of every document, by a model trained on all of them."""
-    n = buckets(docs)
+@dataclass
+class Model:
+    """What is learned from all documents: word counts (a table), frequent words, masses of hash classes, weights of the network."""
+
+    counts: DataFrame
+    vocabulary: np.ndarray
+    total: np.ndarray
+    unknown: np.ndarray
+    weights: bytes
+
+
+def fitted(docs: DataFrame) -> Model:
     counts = word_counts(docs)
     vocabulary = frequent_words(counts)
-    total, unknown = class_masses(counts, vocabulary)
-    weights = train(docs, vocabulary)
+    return Model(counts, vocabulary, *class_masses(counts, vocabulary), train(docs, vocabulary))
+
+
+def score(docs: DataFrame, model: Model | None = None, block: int = 16_384) -> DataFrame:
+    """doc_id, n_words, log_likelihood (sum) and mean_log_probability of every document, by a model trained on all of them."""
+    n, model = buckets(docs), model or fitted(docs)
+    counts, vocabulary, total, unknown, weights = model.counts, model.vocabulary, model.total, model.unknown, model.weights
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         net = Network(weights)

@@ -3,8 +3,10 @@
 Each document has a strength, linear in measured features; of a pair of labelled documents the better one wins with
 probability sigmoid(strength difference). Pairs of a good and a bad document give a logistic loss on feature differences.
 The cut is a quantile of the labelled strengths, the one with the best balanced accuracy there, and a score is the
-sigmoid of the distance to it, so that the cut scores CUT_SCORE. Features come from the text alone. Null and empty texts
-are scored like any other; without labels of both kinds every document has score 0.5.
+sigmoid of the distance to it, so that the cut scores CUT_SCORE, and a tie with the cut counts as good. Features come from the text
+alone: rows with equal or null ids, repeated rows and extra columns of any name are scored each for itself, and a labelled id counts
+once, with one of its texts. Null, empty and very long texts are scored like any other, whole; without labels of both kinds every
+document has score 0.5; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,10 +65,11 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "qu
     """doc_id, held_out, strength and score of every document; only labels of rows that aren't held out are learned from."""
     spark = docs.sparkSession
     own = written(with_stats(docs).withColumn("x", F.array(*features())).select("doc_id", "x"), scratch(spark, "quality"))
-    known = labels.select("doc_id", F.col(label).alias("y")).where(~held_out & F.col("y").isin(0, 1))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held_out & F.col("y").isin(0, 1)).distinct()
     # A bounded sample of each kind, chosen by a hash of the id.
     some = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED) for k in (0, 1)]
-    rows = own.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").orderBy("doc_id", "x", "y").select("x", "y").collect()
+    # At most 2 * MAX_LABELLED rows of fixed size.
+    rows = own.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).orderBy("doc_id", "y").select("x", "y").collect()
     y = np.array([r.y for r in rows])
     base = own.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     if not ((y == 0).any() and (y == 1).any()):

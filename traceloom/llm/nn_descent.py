@@ -381,7 +381,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     spark = vectors.sparkSession
     own = written(valid_vectors(vectors), scratch(spark, "vectors"))
     some = own.where("raw is not null")
-    classes = written(some.groupBy("label", "raw").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.bool_or(F.col("vec_id") % ASKED == 0).alias("asked")), scratch(spark, "vectors"))
+    classes = some.groupBy("label", "raw").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.bool_or(F.col("vec_id") % ASKED == 0).alias("asked"))
+    # Numbers of classes, which hold once they are written: one id may be the least of several classes.
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), scratch(spark, "vectors"))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits = max(4, min(24, round(math.log2(max(1, most) / 8))))
     meet = 1 - math.acos(THRESHOLD) / math.pi
@@ -397,9 +399,12 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
             links = written(counted(classes, comp), scratch(spark, "links"))
         if k == TRIES or audit(classes, links) >= AUDIT:
             break
-    joined_ = own.join(classes, ["label", "raw"], "left").drop("raw", "label").join(links, "id", "left")
-    joined_ = joined_.join(comp.select("id", "component"), "id", "left") if comp is not None else joined_.withColumn("component", F.lit(None).cast("long"))
-    out = joined_.select("vec_id", F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "id", "vec_id").alias("component_id"))
+    found = classes.select("label", "raw", "id", "least", "copies").join(links, "id", "left")
+    if comp is not None:
+        whole = comp.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("first"))
+        found = found.join(comp.join(whole, "component").select("id", "first"), "id", "left").withColumn("least", F.coalesce("first", "least"))
+    joined_ = own.join(found, ["label", "raw"], "left")
+    out = joined_.select("vec_id", F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 

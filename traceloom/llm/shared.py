@@ -174,10 +174,9 @@ def joined(rows: list[tuple], column: int, kind: type | str) -> np.ndarray:
 
 
 def dealt(packed: DataFrame, n: int = 32) -> DataFrame:
-    """Packed rows of n buckets with each bucket in one task, sorted by bucket and kind."""
-    partitions = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(32, partitions, n if n > 64 else 0)
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    """Packed rows of n buckets with each bucket in a task of its own, sorted by kind."""
+    n = max(32, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), n)
+    return packed.repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind")
 
 
 def crc_of_id(doc_id: Column) -> Column:

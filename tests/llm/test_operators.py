@@ -103,6 +103,19 @@ def test_token_store(spark, docs, empty, rows, tmp_path):
     assert token_store.read_store(token_store.write_store(empty, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_hot_ids_spread_over_shards(spark, tmp_path):
+    """One id in a third of all rows, null ids and equal rows lie in many shards, in order, and are all found again."""
+    text = F.concat(F.lit("text "), (F.col("id") % 300).cast("string"))
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"), F.when(F.col("id") % 5 > 0, text).alias("text"))
+    manifest = token_store.write_store(df, f"file://{tmp_path}/store").cache()
+    assert token_store.shards_with(manifest, [7]).count() > 3 and token_store.shards_with(manifest, [None]).count() > 3
+    assert token_store.lookup(manifest, [7]).count() == 1001 and token_store.lookup(manifest, [None, 10]).count() == 1001
+    rows = sorted(token_store.read_store(manifest).collect(), key=lambda r: r.start)
+    assert [r.start for r in rows] == np.r_[0, np.cumsum([r.n_tokens for r in rows])[:-1]].tolist()
+    assert [(-1 if r.doc_id is None else r.doc_id) for r in rows] == sorted((-1 if r.doc_id is None else r.doc_id) for r in df.collect())
+    manifest.unpersist()
+
+
 def test_shard_blocks(tmp_path):
     path = f"file://{tmp_path}/one.sst"
     w = token_store.ShardWriter(path, 2)

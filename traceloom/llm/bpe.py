@@ -48,6 +48,7 @@ class PrefixBpe:
         self.library = Tokenizer.from_file(path)
         self.suffix = model.get("end_of_word_suffix") or ""
         self.letters = byte_letters()
+        self.bytes_of = {x: b for b, x in enumerate(self.letters)}
         vocab = model["vocab"]
         self.token = {i: t for t, i in vocab.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
         self.tokens = [self.token.get(i, "") for i in range(max(self.token) + 1)]
@@ -199,7 +200,7 @@ class PrefixBpe:
     def decode(self, ids: bytes) -> str:
         """Text of ids as the library's decode with skip_special_tokens=False gives it."""
         tokens, numbers, plain = self.tokens, np.frombuffer(ids, "<u4"), self.library.decoder is None
-        back, parts = {x: b for b, x in enumerate(self.letters)}, []
+        back, parts = self.bytes_of, []
         for i in range(0, len(numbers), IDS_AT_ONCE):
             own = [tokens[k] for k in numbers[i : i + IDS_AT_ONCE].tolist()]
             parts.append(" ".join(own) if plain else b"".join(bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in own))

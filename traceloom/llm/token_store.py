@@ -10,8 +10,8 @@ index and reads that block alone. Layout of a file, little endian throughout:
     filter   bits, 10 for each key, 7 probes
     footer   u64 place of index, of filter, of footer; u64 documents; u64 ids; u32 bytes for an id; 8 bytes magic
 
-Documents with null or empty text hold the end id alone; equal ids lie side by side, ordered by text, and so do repeated rows; null
-ids come first. A very long text is one entry of a block of its own size. An empty table makes no shard. Columns other than doc_id
+Documents with null or empty text hold the end id alone; equal ids lie side by side, in the order of a hash of their texts, over as many
+shards and tasks as they need, and so do repeated rows; null ids come first. A very long text is one entry of a block of its own size. An empty table makes no shard. Columns other than doc_id
 and text are never read. The manifest has each shard's first and last id, so a lookup opens those shards alone that may hold one.
 """
 
@@ -160,26 +160,28 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.jso
         end = np.array([end_id], f"<u{width}").tobytes()
 
         def shards() -> Iterator[tuple]:
-            k, out, last = 0, None, None
+            k, out = 0, None
             for b in batches:
                 for a in range(0, b.num_rows, 500):
                     some = b.slice(a, 500)
                     for doc, ids in zip(some.column("doc_id").to_pylist(), enc.many(some.column("text").to_pylist()), strict=True):
-                        if out is not None and out.place >= SHARD and doc != last:
+                        if out is not None and out.place >= SHARD:
                             out.close()
                             yield part, k, path, len(out.keys), out.n_ids, id_of(out.keys[0]), id_of(out.keys[-1])
                             k, out = k + 1, None
                         if out is None:
                             out = ShardWriter(path := f"{folder}/shard-{part:06d}-{k:04d}.sst", width)
                         out.add(doc, np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes() + end)
-                        last = doc
             if out is not None:
                 out.close()
                 yield part, k, path, len(out.keys), out.n_ids, id_of(out.keys[0]), id_of(out.keys[-1])
 
         return record_batches(shards(), _MANIFEST)
 
-    ordered = texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, and even equal rows, may lie in several ranges.
+    keys = ["doc_id", "hash", "row"]
+    keyed = texts(docs, F.xxhash64(F.col("text").cast("string")).alias("hash"), F.xxhash64(F.monotonically_increasing_id()).alias("row"))
+    ordered = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     manifest = written(ordered.mapInArrow(run, MANIFEST), f"{folder}/manifest")
     # A row for each shard of 64 MB: few for any input.
     return manifest.withColumn("start", F.sum("n_ids").over(Window.orderBy("part", "shard")) - F.col("n_ids"))

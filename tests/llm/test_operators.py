@@ -226,6 +226,11 @@ def test_long_texts_are_handled_in_parts(monkeypatch):
         assert own.decode(raw) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_loose_texts_are_told(texts):
+    for t in [*filter(None, texts), *(f"a{chr(c)}b" for c in range(0x3100)), *(f"a {chr(c)}b" for c in range(0x3100)), *(f"a{chr(c)}" for c in range(0x3100))]:
+        assert encoder.loose(t) == (re.search(r"\s\s|\A\s|\s\Z", t) is not None), repr(t)
+
+
 def test_memory_of_pieces_is_bounded(monkeypatch):
     monkeypatch.setattr(encoder, "LETTERS_HELD", 500)
     monkeypatch.setattr(bpe, "REMEMBERED_LETTERS", 500)
@@ -233,7 +238,7 @@ def test_memory_of_pieces_is_bounded(monkeypatch):
     for i in range(20):
         text = " ".join(f"{'q' * 50}{i}{k}" for k in range(5))
         assert e.many([text])[0] == p.encode(text)
-    assert sum(map(len, e.known)) <= 600 and sum(map(len, p.known)) <= 1100
+    assert max(sum(map(len, x)) for x in (e.known, e.base)) <= 600 and sum(map(len, p.known)) <= 1100
 
 
 def components_by_force(rows):

@@ -1,7 +1,7 @@
 """Texts to ids with the tokenizers library, each distinct piece of text encoded once for each worker.
 
 White space bounds the library's pieces, so a text is cut where no rule of the tokenizer can look across, the pieces are
-looked up, and only pieces not met before go to the library.
+looked up, and only a piece not met before goes to the library.
 Ids are exactly the library's; the table of pieces is emptied when it reaches a fixed number of pieces or letters, and a long text
 is handled part by part, so memory is bounded but for the text and its ids.
 """
@@ -12,6 +12,8 @@ import functools
 import os
 import re
 from array import array
+from collections.abc import Callable
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, others from 256 on."""
@@ -26,11 +28,13 @@ def byte_letters() -> list[str]:
 
 
 #: Pieces that a worker remembers, and their letters in all; letters of a text that are cut into pieces at once.
-REMEMBERED, LETTERS_HELD, SLICE = 900_000, 30_000_000, 3_000_000
+REMEMBERED, LETTERS_HELD, SLICE = 1_500_000, 30_000_000, 3_000_000
 _ASCII_SPACES = re.compile(r"[\x20\t-\r]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 _LOOSE = re.compile(r"\s\s|\A\s|\s\Z")
+#: White space but the space and the line feed.
+_OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Pieces of these characters alone are cut into pre-tokens here; of both patterns, letters and digits are all that they can meet in them.
 _PLAIN_WORD = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
 _PLAIN_LINES = re.compile(r"[ -~\nÀ-ÖØ-öø-ÿ]+\Z")
@@ -40,8 +44,30 @@ _LETTERS = byte_letters()
 _BLANK, _LINE = _LETTERS[32], _LETTERS[10]
 
 
+def loose(text: str) -> bool:
+    """Whether a text has white space at an end or two of it side by side; most texts have none but single spaces and line feeds."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace():
+        return True
+    return _OTHER.search(text) is not None and _LOOSE.search(text) is not None
+
+
+class Remembered(dict):
+    """Values made on first use; emptied when it has too many keys or letters."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.letters = make, 0
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= REMEMBERED or self.letters > LETTERS_HELD:
+            self.clear()
+            self.letters = 0
+        self.letters += len(key)
+        got = self[key] = self.make(key)
+        return got
+
+
 class Encoder:
-    """ids(text) gives little-endian unsigned 32-bit ids."""
+    """one(text) gives little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,98 +76,60 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.base: dict[str, bytes] = {}
-        self.letters = 0
+        self.tokenize = self.tokenizer.model.tokenize
+        #: Ids of pieces, of pieces by what follows their space, and of pre-tokens.
+        self.known, self.spaced, self.base = Remembered(self.piece), Remembered(lambda x: self.piece(" " + x)), Remembered(self.pre_token)
         self.plain = self.split = None
-        probe = self._library(["a b", "a", " b", "a\n b", "\n"])
+        probe = [self.whole(x) for x in ("a b", "a", " b", "a\n b", "\n")]
         # White space is dropped: cut at white space. Or a single space belongs to what follows it: cut before single spaces.
         self.drops = probe[0] == probe[1] + probe[2] and not probe[4]
         self.keeps = not self.drops and probe[0] == probe[1] + probe[2] and probe[3] == probe[1] + probe[4] + probe[2]
         if self.drops or self.keeps:
             self.plain, self.split = (_PLAIN_WORD, _FOLDED) if self.drops else (_PLAIN_LINES, _SPACED)
             tests = ["It's", "DON'T", "l'Été,", "x0y12", "--'ve..", "ÀÿßÞ", "'tis", "a'S'", *([] if self.drops else [" a12,b", " ÷x".replace("÷", ","), "a.\nB", " 'll", " x\n\ny", " 12"])]
-            want = self._library(tests)
-            self.learn(set(tests))
-            if [array("I", x).tobytes() for x in want] != [self.known[x] for x in tests]:
+            if any(self.piece(x) != self.whole(x) for x in tests):
                 self.plain = None
-            self.known.clear()
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, text: str) -> list[str]:
-        if self.drops:
-            return [x for x in _ASCII_SPACES.split(text) if x] if _ODD.search(text) else text.split()
-        if self.keeps:
-            cut = text.split(" ") if _LOOSE.search(text) is None else _SINGLE.split(text)
-            return [cut[0], *[" " + x for x in cut[1:]]] if cut[0] else [" " + x for x in cut[1:]]
-        return [text] if text else []
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encodes pieces that are not known yet: Latin ones pre-token by pre-token with the library's BPE model, others as a whole."""
-        known, base, tokenize = self.known, self.base, self.model.tokenize
-        new = [x for x in pieces if x not in known]
-        more = sum(map(len, new))
-        if len(known) + len(new) > REMEMBERED or self.letters + more > LETTERS_HELD:
-            known.clear()
-            base.clear()
-            new = list(pieces)
-            self.letters, more = 0, sum(map(len, new))
-        self.letters += more
-        if len(base) > REMEMBERED:
-            base.clear()
-        other = []
-        for x in new:
-            if self.plain is None or self.plain.match(x) is None or "<|" in x:
-                other.append(x)
-                continue
-            ids = []
-            for y in self.split.findall(x.lower() if self.drops else x):
-                got = base.get(y)
-                if got is None:
-                    letters = y.replace(" ", _BLANK).replace("\n", _LINE) if y.isascii() else "".join(map(_LETTERS.__getitem__, y.encode()))
-                    got = base[y] = array("I", [t.id for t in tokenize(letters)]).tobytes()
-                ids.append(got)
-            known[x] = ids[0] if len(ids) == 1 else b"".join(ids)
-        for i in range(0, len(other), 1000):
-            for x, own in zip(other[i : i + 1000], self._library(other[i : i + 1000]), strict=True):
-                known[x] = array("I", own).tobytes()
-
-    def slices(self, text: str) -> list[str]:
-        """A text in parts of about SLICE letters, cut where its pieces are the same as the whole text's."""
-        out, a = [], 0
+            self.base.clear()
+
+    def whole(self, text: str) -> bytes:
+        """Ids by the library itself."""
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def pre_token(self, text: str) -> bytes:
+        letters = text.replace(" ", _BLANK).replace("\n", _LINE) if text.isascii() else "".join(map(_LETTERS.__getitem__, text.encode()))
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+
+    def piece(self, text: str) -> bytes:
+        """Ids of what stands alone: of Latin pieces pre-token by pre-token with the library's BPE model, of others as a whole."""
+        if self.plain is not None and text.isascii() and text[text[:1] == " " :].isalpha():  # most pieces are one pre-token
+            return self.pre_token(text.lower() if self.drops else text)
+        if self.plain is None or self.plain.match(text) is None or "<|" in text:
+            return self.whole(text)
+        return b"".join(map(self.base.__getitem__, self.split.findall(text.lower() if self.drops else text)))
+
+    def one(self, text: str | None) -> bytes:
+        """Ids of a text; a null text is empty. A long one is encoded in parts of about SLICE letters, cut between pieces."""
+        text, parts, a = text or "", [], 0
         while len(text) - a > SLICE and (self.drops or self.keeps):
             m = (_ASCII_SPACES if self.drops else _SINGLE).search(text, a + SLICE)
             if m is None:
                 break
-            out.append(text[a : m.start()])
+            parts.append(self.part(text[a : m.start()]))
             a = m.start()
-        return [*out, text[a:]]
+        return b"".join([*parts, self.part(text[a:])]) if parts else self.part(text)
+
+    def part(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if self.drops:
+            return b"".join(map(self.known.__getitem__, [x for x in _ASCII_SPACES.split(text) if x] if _ODD.search(text) else text.split()))
+        if self.keeps:
+            cut = iter(_SINGLE.split(text) if loose(text) else text.split(" "))
+            return self.known[next(cut)] + b"".join(map(self.spaced.__getitem__, cut))
+        return self.whole(text)
 
     def many(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; a null text is empty."""
-        out, i = [], 0
-        while i < len(texts):
-            cut, size = [], 0
-            while i < len(texts) and size < SLICE and len(texts[i] or "") <= SLICE:
-                cut.append(self.pieces(texts[i] or ""))
-                size += len(texts[i] or "")
-                i += 1
-            if cut:
-                self.learn(set().union(*cut))
-                get = self.known.__getitem__
-                out += [b"".join(map(get, x)) for x in cut]
-            else:
-                parts = []
-                for part in self.slices(texts[i]):
-                    own = self.pieces(part)
-                    self.learn(set(own))
-                    parts.append(b"".join(map(self.known.__getitem__, own)))
-                out.append(b"".join(parts))
-                i += 1
-        return out
+        return [self.one(t) for t in texts]
 
 
 @functools.lru_cache(2)

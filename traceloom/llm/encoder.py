@@ -27,8 +27,9 @@ def byte_letters() -> list[str]:
     return out
 
 
-#: Pieces that a worker remembers, and their letters in all; letters of a text that are cut into pieces at once.
-REMEMBERED, LETTERS_HELD, SLICE = 1_500_000, 30_000_000, 3_000_000
+#: Pieces and pre-tokens that a worker remembers (about 200 bytes each), and their letters in all; letters of a text that are cut into
+#: pieces at once.
+REMEMBERED, REMEMBERED_BASE, LETTERS_HELD, SLICE = 800_000, 250_000, 15_000_000, 3_000_000
 _ASCII_SPACES = re.compile(r"[\x20\t-\r]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
@@ -54,11 +55,11 @@ def loose(text: str) -> bool:
 class Remembered(dict):
     """Values made on first use; emptied when it has too many keys or letters."""
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make, self.letters = make, 0
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.letters = make, most, 0
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= REMEMBERED or self.letters > LETTERS_HELD:
+        if len(self) >= self.most or self.letters > LETTERS_HELD:
             self.clear()
             self.letters = 0
         self.letters += len(key)
@@ -78,7 +79,8 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenize = self.tokenizer.model.tokenize
         #: Ids of pieces, of pieces by what follows their space, and of pre-tokens.
-        self.known, self.spaced, self.base = Remembered(self.piece), Remembered(lambda x: self.piece(" " + x)), Remembered(self.pre_token)
+        self.known, self.base = Remembered(self.piece, REMEMBERED), Remembered(self.pre_token, REMEMBERED_BASE)
+        self.spaced = Remembered(self.spaced_piece, REMEMBERED)
         self.plain = self.split = None
         probe = [self.whole(x) for x in ("a b", "a", " b", "a\n b", "\n")]
         # White space is dropped: cut at white space. Or a single space belongs to what follows it: cut before single spaces.
@@ -107,6 +109,12 @@ class Encoder:
             return self.whole(text)
         return b"".join(map(self.base.__getitem__, self.split.findall(text.lower() if self.drops else text)))
 
+    def spaced_piece(self, text: str) -> bytes:
+        """Ids of a space and what follows it."""
+        if self.plain is not None and text.isascii() and text.isalpha():
+            return array("I", [t.id for t in self.tokenize(_BLANK + text)]).tobytes()
+        return self.piece(" " + text)
+
     def one(self, text: str | None) -> bytes:
         """Ids of a text; a null text is empty. A long one is encoded in parts of about SLICE letters, cut between pieces."""
         text, parts, a = text or "", [], 0

@@ -147,7 +147,7 @@ def entries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
             nodes.append(b.column("node").to_numpy(zero_copy_only=False)[i : i + 5000])
             sketches += b.column("sketch").to_pylist()[i : i + 5000]
             size += keys[-1].size
-            if size >= FLUSH // 2:
+            if size >= FLUSH // 4:
                 yield from flush(keys, nodes, sketches)
                 keys, nodes, sketches, size = [], [], [], 0
     if size:

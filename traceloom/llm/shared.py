@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .words import NULL_ID, mix
 
 #: Entries that a task holds before it sends out what it has packed; bytes of whole rows; bytes of input that a bucket should have.
-FLUSH, FLUSH_BYTES, BUCKET_BYTES = 2_000_000, 32_000_000, 32_000_000
+FLUSH, FLUSH_BYTES, BUCKET_BYTES = 2_000_000, 16_000_000, 32_000_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:

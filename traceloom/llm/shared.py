@@ -69,8 +69,21 @@ def free_names(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
+#: What an Arrow batch between Spark and Python holds at most, in rows and bytes; Spark's own bounds ask for a GB where texts are long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8_000_000}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds on Arrow batches to BATCHES; lower ones of its own stay."""
+    for key, most in BATCHES.items():
+        given = spark.conf.get(key, None)
+        if given is None or not given.isdigit() or not 0 < int(given) <= most:
+            spark.conf.set(key, str(most))
+
+
 def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
     """doc_id and text alone; extra columns of the table, whatever their names, are never read."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 

@@ -141,8 +141,8 @@ def label_tokens(docs: list[np.ndarray], y: np.ndarray, n_words: int) -> np.ndar
 
 def fit_field(given: list[np.ndarray], y: np.ndarray, seed: int = 3) -> Field:
     """The field of documents given as word hashes."""
-    words, number = np.unique(np.concatenate(given), return_inverse=True)
-    docs = np.split(number, np.cumsum([len(t) for t in given])[:-1])
+    words = np.unique(np.concatenate(given))
+    docs = [np.searchsorted(words, t).astype(np.int32) for t in given]
     field, rng, pad = Field(words), np.random.default_rng(seed), len(words)
     toxic, rows, tags = label_tokens(docs, y, pad), [], []
     for t, k in zip(docs, y, strict=True):
@@ -260,14 +260,18 @@ def fit(docs: DataFrame, known: DataFrame) -> tuple[Field, np.ndarray]:
         return Field(), np.array([0.0, 0.0, np.log((mean + 1e-9) / (1 - mean + 1e-9))])
     tokens = [np.frombuffer(r.t, np.uint64) for r in rows]
     field = fit_field(tokens, y)
-    first = np.r_[0, np.cumsum([len(t) for t in tokens])]
-    t = field.numbers(np.concatenate(tokens))
-    x = summary(marginals(field.emissions(t, first), field.trans, first), first)
+    x = np.concatenate([summarized(field, tokens[i : i + 200]) for i in range(0, len(tokens), 200)])
     n = np.bincount(y.astype(int), minlength=2)
     weight = np.where(y == 1, counts.get(1, 0) / n[1], counts.get(0, 0) / n[0])  # kinds as frequent as among all labels
     return field, fit_logistic(x, y, weight)
 
 
+def summarized(field: Field, tokens: list[np.ndarray]) -> np.ndarray:
+    """summary of some documents, given as word hashes."""
+    first = np.r_[0, np.cumsum([len(t) for t in tokens])]
+    return summary(marginals(field.emissions(field.numbers(np.concatenate(tokens)), first), field.trans, first), first)
+
+
 def learned(docs: DataFrame, labels: DataFrame, held_out: Column, label: str) -> tuple[Field, np.ndarray]:
     """fit on the labels that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held_out & F.col("y").isin(0, 1)).distinct()

@@ -53,12 +53,21 @@ def loose(text: str) -> bool:
 
 
 class Remembered(dict):
-    """Values made on first use; emptied when it has too many keys or letters."""
+    """Values kept from their second use on, since most distinct pieces occur once; emptied when it has too many keys or letters.
+
+    What has been used before is told by a byte at its hash; two keys that share one are kept a use early.
+    """
+
+    SLOTS = 1 << 22
 
     def __init__(self, make: Callable[[str], bytes], most: int):
-        self.make, self.most, self.letters = make, most, 0
+        self.make, self.most, self.letters, self.used = make, most, 0, bytearray(self.SLOTS)
 
     def __missing__(self, key: str) -> bytes:
+        slot = hash(key) & self.SLOTS - 1
+        if not self.used[slot]:
+            self.used[slot] = 1
+            return self.make(key)
         if len(self) >= self.most or self.letters > LETTERS_HELD:
             self.clear()
             self.letters = 0

@@ -6,6 +6,7 @@ never occur inside a multi-byte character, so byte runs and character runs are t
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -119,6 +120,8 @@ def inside(first: np.ndarray, k: int) -> np.ndarray:
 
 def chunks(batch: pa.RecordBatch, lower: bool = False) -> Iterator[Words]:
     """Words of the documents of a batch with doc_id and text, some MB at a time; a null text has none."""
+    if (other := sys.modules.get(f"{__package__}.encoder")) is not None:
+        other.encoder.cache_clear()  # a worker that turns from encoding to words keeps no pieces
     ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
     col = batch.column("text")
     if pa.types.is_large_string(col.type):

@@ -52,7 +52,9 @@ def texts() -> list[str | None]:
 def docs(spark, texts):
     """Ids are shuffled; extra columns have names that the operators use inside."""
     ids = np.random.default_rng(2).permutation(len(texts)).tolist()
-    return spark.createDataFrame([(i, t, 7, "k", f"host{i % 3}" if i % 5 else None) for i, t in zip(ids, texts, strict=True)], SCHEMA).repartition(3).cache()
+    held = spark.createDataFrame([(i, t, 7, "k", f"host{i % 3}" if i % 5 else None) for i, t in zip(ids, texts, strict=True)], SCHEMA).repartition(3).cache()
+    yield held
+    held.unpersist(blocking=True)
 
 
 @pytest.fixture(scope="module")

@@ -414,20 +414,37 @@ def test_nn_descent_falls_back(spark, monkeypatch):
 def test_all_blocks_of_a_hot_key_meet(whole):
     rng = np.random.default_rng(8)
     v = np.repeat(rng.standard_normal((40, 8)), 10, axis=0) + 0.25 * rng.standard_normal((400, 8))
-    group, unit = np.full(400, 5, np.uint64), v / np.linalg.norm(v, axis=1)[:, None]
-    hot = np.unique(nn_descent.table_keys(unit, group, 8, 0, 4, 0))
 
-    def found(hot: np.ndarray, blocks: int) -> np.ndarray:
-        batch = pa.record_batch([pa.array(range(400)), pa.array([nn_descent.packed_vector(x) for x in v]), pa.array([5] * 400), pa.array([blocks if whole else 0] * 400)], ["id", "raw", "group", "blocks"])
-        packed = sorted(nn_descent.table_rows([batch], 64, 1, 4, 0, hot, np.full(len(hot), blocks)))
+    def found(blocks: int) -> np.ndarray:
+        hot = pa.array([[{"t": 0, "blocks": blocks}] if blocks > 1 else None] * 400, pa.list_(pa.struct([("t", pa.int64()), ("blocks", pa.int64())])))
+        batch = pa.record_batch([pa.array(range(400)), pa.array([nn_descent.packed_vector(x) for x in v]), pa.array([5] * 400), pa.array([blocks if whole else 0] * 400), hot], ["id", "raw", "group", "blocks", "hot"])
+        packed = sorted(nn_descent.table_rows([batch], 64, 1, 4, 0))
         parts = [np.stack([b.column(c).to_numpy() for c in "uvs"], 1) for b in nn_descent.lists_of(record_batches(packed, nn_descent.PACKED))]
         edges = np.concatenate(parts)
         u, w = edges[edges[:, 2] >= 0.93][:, :2].astype(int).T
         return graph.labels_of(np.r_[u, range(400)], np.r_[w, range(400)])[1]
 
-    assert (found(hot, 3) == found(hot[:0], 1)).all() and len(set(found(hot, 3))) < 200
+    assert (found(3) == found(1)).all() and len(set(found(3))) < 200
     if whole:
-        assert found(hot, 3).tolist() == linked_by_force(v)[1]
+        assert found(3).tolist() == linked_by_force(v)[1]
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_nn_descent_hot_keys(spark, monkeypatch, threshold):
+    """Keys of more than SQUARE vectors are told to the vectors by a join, whether it is broadcast or not."""
+    monkeypatch.setattr(nn_descent, "SQUARE", 20)
+    cut, called = nn_descent.hot_tables, []
+    monkeypatch.setattr(nn_descent, "hot_tables", lambda planned, *args: called.append(out := cut(planned, *args)) or out)
+    rng = np.random.default_rng(11)
+    v = np.repeat(rng.standard_normal((16, 32)), 25, axis=0) + 0.01 * rng.standard_normal((400, 32))
+    n_links, least = linked_by_force(v)
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        assert sorted(map(tuple, nn_descent.near_duplicates(df).collect())) == [(i, n_links[i], least[i], i == least[i]) for i in range(400)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert called and "hot" in called[0].columns
 
 
 def test_host_rules(docs, empty, rows):

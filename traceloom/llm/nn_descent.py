@@ -157,21 +157,42 @@ def whole_groups(counts: DataFrame, tables: int) -> DataFrame:
     return sums.where("pairs >= m * m").select("group", F.ceil(F.col("m") / SQUARE).cast("long").alias("blocks"))
 
 
-def table_rows(batches: Iterator[pa.RecordBatch], n: int, tables: int, bits: int, seed: int, hot: np.ndarray, hot_blocks: np.ndarray) -> Iterator[tuple]:
+def hot_tables(planned: DataFrame, over: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
+    """planned with hot: of each vector the tables, and the blocks there, in which its key is one of over (key, blocks).
+
+    Spark joins keys by their size: over goes to all executors only if it is small. A vector has at most one entry for each table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for size, whole, own, v, group, _ in same_size(b):
+                for t in range(0 if whole else tables):
+                    key = table_keys(normal(v), group, size, t, bits, seed)
+                    yield pa.record_batch([pa.array(own), pa.array(np.full(len(own), t)), pa.array(key.view(np.int64))], ["id", "t", "key"])
+
+    keys = planned.mapInArrow(run, "id long, t long, key long")
+    hot = keys.join(over, "key").groupBy("id").agg(F.collect_list(F.struct("t", "blocks")).alias("hot"))
+    return planned.join(hot, "id", "left")
+
+
+def table_rows(batches: Iterator[pa.RecordBatch], n: int, tables: int, bits: int, seed: int) -> Iterator[tuple]:
     """Vectors packed by table key, or by group where that is compared whole.
 
     A key of more than SQUARE vectors is cut into blocks, and each pair of them is a bucket of its own, so all pairs meet.
     """
     for b in batches:
+        hot = {i: h for i, h in zip(b.column("id").to_pylist(), b.column("hot").to_pylist(), strict=True) if h}
         for size, whole, own, v, group, blocks in same_size(b):
             u = normal(v)
+            if hot and not whole:
+                cut = np.ones((len(own), tables), np.int64)
+                for i, k in enumerate(own.tolist()):
+                    for entry in hot.get(k, ()):
+                        cut[i, entry["t"]] = entry["blocks"]
             for t in range(1 if whole else tables):
                 key = table_keys(u, group, size, t, 0 if whole else bits, seed)
                 if not whole:
-                    blocks = np.ones(len(key), np.int64)
-                    if len(hot):
-                        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-                        blocks = np.where(hot[at] == key, hot_blocks[at], 1)
+                    blocks = cut[:, t] if hot else np.ones(len(key), np.int64)
                 mine = (mix(own.view(np.uint64) + np.uint64(seed)) % blocks.astype(np.uint64)).astype(np.int64)
                 kind = (WHOLE if whole else ENTRY) + (SINGLE if v.itemsize == 4 else 0)
                 for j in range(int(blocks.max())):
@@ -275,18 +296,20 @@ def found_links(reps: DataFrame, tables: int, bits: int, seed: int) -> DataFrame
     if bits:
         counts = written(key_counts(grouped.withColumn("blocks", F.lit(0).cast("long")), tables, bits, seed), counts_path := scratch(spark, "keys"))
         whole = written(whole_groups(counts, tables), whole_path := scratch(spark, "keys"))
-        over = counts.where(F.col("n") > SQUARE).join(whole, "group", "left_anti").select("key", F.ceil(F.col("n") / SQUARE).alias("blocks")).toArrow()
+        over = counts.where(F.col("n") > SQUARE).join(whole, "group", "left_anti").select("key", F.ceil(F.col("n") / SQUARE).cast("long").alias("blocks"))
+        over = written(over.groupBy("key").agg(F.max("blocks").alias("blocks")), over_path := scratch(spark, "keys"))
         dropped(spark, counts_path)
     else:
-        whole, over = written(grouped.groupBy("group").agg(F.ceil(F.count("*") / SQUARE).cast("long").alias("blocks")), whole_path := scratch(spark, "keys")), None
-    hot, blocks = (over.column(c).to_numpy().astype(np.int64) for c in ("key", "blocks")) if over is not None else (np.zeros(0, np.int64),) * 2
-    order = np.argsort(hot.view(np.uint64))
-    hot, blocks = hot.view(np.uint64)[order], blocks[order]
+        whole, over, over_path = written(grouped.groupBy("group").agg(F.ceil(F.count("*") / SQUARE).cast("long").alias("blocks")), whole_path := scratch(spark, "keys")), None, None
     planned = grouped.join(whole, "group", "left").select("id", "raw", "group", F.coalesce("blocks", F.lit(0).cast("long")).alias("blocks"))
-    packed = planned.mapInArrow(lambda it: record_batches(table_rows(it, n, tables, bits, seed, hot, blocks), PACKED), PACKED_SQL)
+    if over is None or over.isEmpty():
+        planned = planned.withColumn("hot", F.lit(None).cast("array<struct<t:bigint,blocks:bigint>>"))
+    else:
+        planned = hot_tables(planned, over, tables, bits, seed)
+    packed = planned.mapInArrow(lambda it: record_batches(table_rows(it, n, tables, bits, seed), PACKED), PACKED_SQL)
     found, path = kept(dealt(packed, n).mapInArrow(lists_of, "u long, v long, s double"))
     lists = written(shortened(found), lists_path := scratch(spark, "neighbours"))
-    dropped(spark, path, whole_path)
+    dropped(spark, path, whole_path, *filter(None, [over_path]))
     for _ in range(ROUNDS):
         size = lists.count()
         if not size:

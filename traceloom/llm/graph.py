@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .shared import dropped, scratch, written
 
 #: Edges (16 bytes each) up to which one task finds the components; more are worked on by all executors.
-ONE_TASK = 500_000
+ONE_TASK = 20_000
 
 
 def labels_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

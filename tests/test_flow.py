@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from traceloom import errors
 from traceloom.functions.conditions import drop_err
-from traceloom.functions.xmltypes import in_class, is_valid, matches, parse_bool
+from traceloom.functions.xmltypes import CLASSES, in_class, is_valid, letters_in, matches, parse_bool
 from traceloom.operators.extensions import Concept, Org
 from traceloom.plans import catalogue, plugins
 from traceloom.plans.channels import ChannelNames
@@ -152,6 +152,16 @@ def test_letter_classes(name, inside, outside):
     assert all(in_class(name, x) for x in inside) and not any(in_class(name, x) for x in outside)
 
 
+def test_letters_in_columns(spark):
+    """Counts of each class are those of in_class, over every character of the basic plane and some beyond."""
+    every = [chr(p) for p in (*range(0xD800), *range(0xE000, 0x10000), 0x10000, 0x1D7CE, 0x20000, 0x10FFFF)]
+    given = [None, "", "A\u0300\u0660\u00b7\u3007", "acei0 \0\n", *("".join(every[i::97]) * 2 for i in range(97)), "".join(every)]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, text string").select("i", *[letters_in(k, F.col("text")).alias(k) for k in CLASSES])
+    inside = {k: {x for x in every if in_class(k, x)} for k in CLASSES}
+    want = [(i, *(None if t is None else sum(x in inside[k] for x in t) for k in CLASSES)) for i, t in enumerate(given)]
+    assert sorted(map(tuple, df.collect())) == want and {t for _, t in df.dtypes} == {"int"}
+
+
 def test_string_types_are_the_same_in_columns(spark):
     given = ["", "a", "a b", " a", "a\u00a0b", "a\x1cb", "a:b", "é中", "a\u00aa", "1", "_"]
     df = spark.createDataFrame([(x,) for x in given], "v string")

@@ -40,5 +40,11 @@ def test_filters_without_errors_reach_the_scan(spark):
     assert "GreaterThan(value,5.0)" in plan and "props" not in plan
 
 
+def test_letter_classes_cost_one_look_a_character(spark):
+    """One table for all classes, looked into once; no pattern with hundreds of ranges, of which a text would try all."""
+    plan = catalogue.QUERIES["q58_letter_classes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("translate(") == 1 and "regexp" not in plan
+
+
 def test_flagship(spark):
     assert catalogue.flagship(spark, SF).count() > 0

@@ -8,6 +8,8 @@ so some letters that were added to those blocks between the two versions count t
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import add
 from unicodedata import ucd_3_2_0 as old
 
 from pyspark.sql import Column
@@ -41,7 +43,8 @@ def _ranges(points: list[int]) -> str:
     return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
 
 
-def _classes() -> dict[str, str]:
+def _points() -> dict[str, list[int]]:
+    """Code points of each class; no two classes have one in common."""
     of: dict[str, list[int]] = {"BaseChar": [], "CombiningChar": [], "Digit": []}
     special = {*EXTENDERS, *IDEOGRAPHS}
     for a, b in BLOCKS:
@@ -56,12 +59,16 @@ def _classes() -> dict[str, str]:
             elif kind == "Nd":
                 of["Digit"].append(p)
     of["Digit"] += range(0x30, 0x3A)
-    out = {k: _ranges(v) for k, v in of.items()} | {"Extender": _ranges(EXTENDERS), "Ideographic": _ranges(IDEOGRAPHS)}
-    return out | {"Letter": out["BaseChar"] + out["Ideographic"]}
+    return of | {"Extender": EXTENDERS, "Ideographic": IDEOGRAPHS}
 
 
+_POINTS = _points()
 #: BaseChar, Ideographic, CombiningChar, Digit, Extender and Letter as insides of bracket expressions.
-CLASSES = _classes()
+CLASSES = {k: _ranges(v) for k, v in _POINTS.items()}
+CLASSES["Letter"] = CLASSES["BaseChar"] + CLASSES["Ideographic"]
+# One character of each class, its mark; all characters of classes and the mark of each, as arguments of translate.
+_MARKS = {k: chr(v[0]) for k, v in _POINTS.items()}
+_MARKED = "".join(chr(p) for v in _POINTS.values() for p in v), "".join(_MARKS[k] * len(v) for k, v in _POINTS.items())
 NCNAME = "[{Letter}_][{Letter}{Digit}{CombiningChar}{Extender}._\\-]*".format(**CLASSES)
 URI = r"[A-Za-z][A-Za-z0-9+.\-]*:"
 _PYTHON = {k: re.compile(v) for k, v in (("token", TOKEN), ("Name", NAME), ("NCName", NCNAME))}
@@ -74,9 +81,24 @@ def in_class(name: str, letter: str) -> bool:
     return _CLASS[name].fullmatch(letter) is not None
 
 
+def marked(text: Column) -> Column:
+    """text with the mark of its class for each character of a class; others stay, and none of them is a mark.
+
+    This is one look into a table for each character, where bracket expressions try hundreds of ranges. Counts of several classes
+    should share it as a column of its own.
+    """
+    return F.translate(text, *_MARKED)
+
+
+def marks_in(name: str, text: Column) -> Column:
+    """How many marks of a class of CLASSES a marked text has."""
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(_MARKS[k]), F.lit(""))) for k in (("BaseChar", "Ideographic") if name == "Letter" else (name,))]
+    return reduce(add, counts)
+
+
 def letters_in(name: str, text: Column) -> Column:
     """How many characters of a text are in a class of CLASSES."""
-    return F.regexp_count(text, F.lit(f"[{CLASSES[name]}]"))
+    return marks_in(name, marked(text))
 
 
 def is_valid(kind: str, text: str) -> bool:

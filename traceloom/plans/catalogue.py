@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coin import coin_sql
 from ..functions.conditions import drop_err, neg
-from ..functions.xmltypes import CLASSES, NAME, NCNAME, TOKEN, URI, boolean, letters_in, matches
+from ..functions.xmltypes import CLASSES, NAME, NCNAME, TOKEN, URI, boolean, marked, marks_in, matches
 from ..model import Attribute, Classifier, Global, Meta, Scope
 from ..operators.eventlog import FlatLog, classifier_column, order_violations
 from ..operators.extensions import Concept, Interval, Org, Time, attribute
@@ -367,8 +367,8 @@ def _letters_sql() -> str:
 
 @_query("q58_letter_classes", f"SELECT doc_id, {_letters_sql()} FROM documents")
 def q58(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", *[letters_in(k, text).alias(k.lower()) for k in CLASSES])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", marked(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    return docs.select("doc_id", *[marks_in(k, F.col("text")).alias(k.lower()) for k in CLASSES])
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
